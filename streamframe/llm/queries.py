@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality
+from . import exact_dedup, quality
 from .common import read
 
 QUERIES = {}
@@ -65,3 +65,14 @@ ORACLES["llm_quality_ablation"] = f"""WITH {_LEDGER_SQL},
 r(rule, bit) AS (VALUES {", ".join(f"('{r.name}', {1 << i})" for i, r in enumerate(quality.RULES) if r.name in quality.POLICIES[quality.PRODUCTION].rules)})
 SELECT rule, count(*) FILTER ((failed & bit) <> 0) AS n_failed, count(*) FILTER ((failed & {_MASK}) = bit) AS n_only, count(*) AS n_docs
 FROM ledger, r GROUP BY rule"""
+
+
+@query
+def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.deduplicate(read(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+ORACLES["op2_exact_dedup"] = f"""
+SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, sha256({_LOWER}) AS text_sha256
+FROM documents WINDOW g AS (PARTITION BY {_LOWER})"""

@@ -4,9 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, quality
+from . import exact_dedup, mixing, packing, quality
 from .common import read
 
+
+def vocabulary(name: str = "word_bpe_49k.json") -> str:
+    """Where a public vocabulary file is; the operators take the path as a parameter."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+
 QUERIES = {}
 ORACLES = {}
 
@@ -76,3 +85,14 @@ _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghi
 ORACLES["op2_exact_dedup"] = f"""
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, sha256({_LOWER}) AS text_sha256
 FROM documents WINDOW g AS (PARTITION BY {_LOWER})"""
+
+
+@query
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = packing.pack(read(spark, sf_dir, "documents"), vocabulary())
+    return found.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+@query
+def op4_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")

@@ -67,7 +67,9 @@ def keyed_state(arrivals: DataFrame) -> DataFrame:
 def stream_state(spark: SparkSession, path: str, schema, files_per_trigger: int = 10_000) -> DataFrame:
     """Run the stateful query over the table at ``path`` to its end; return the last state of each digest."""
     work = new_path(spark, "dedup-state")
-    names = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true"}
+    store = "spark.sql.streaming.stateStore"
+    # many small stores: changelogs instead of whole snapshots, and no space allocated ahead
+    names = {f"{store}.providerClass": ROCKSDB, f"{store}.rocksdb.changelogCheckpointing.enabled": "true", f"{store}.rocksdb.allowFAllocate": "false"}
     before = {k: spark.conf.get(k, None) for k in names}
     for k, v in names.items():
         spark.conf.set(k, v)

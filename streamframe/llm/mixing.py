@@ -1,11 +1,12 @@
 """Mixing sources to target weights by pivotal dependent rounding.
 
 A document of a source whose target is r times its size should be taken r times; its
-whole part is fixed and the fractional parts are rounded together, so that their sum,
-and nearly the sum of the words behind them, is kept. Within a salted group of one
-source, documents stand in order of size; two neighbours' fractions meet, a random
-transfer makes one of them integral, and the other meets the next. What one group
-leaves over, one fractional document, meets the others' in a reduction tree.
+whole part is fixed and the fractional parts are rounded together, so that the sum of
+the words behind them is kept. Within a salted group of one source, documents stand
+in order of size, the largest first; two neighbours' fractions meet, a random transfer
+makes one of them integral, and the other meets the next. What one group leaves over,
+one small fractional document, meets the others' in a reduction tree. So a source's
+words miss its target by less than one document.
 
 Random numbers and groups are hashes of identifiers, so reruns agree, whatever the
 partitions. Null text has no words and is taken zero words of. A null source is a
@@ -84,33 +85,31 @@ def _uniform(*keys: np.ndarray | int) -> np.ndarray:
     return (h >> np.uint64(11)).astype(np.float64) * 2.0**-53
 
 
-def pivotal(p: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, int]:
+def pivotal(p: np.ndarray, size: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, int]:
     """Round probabilities in their order; returns them, all 0 or 1 but at most one, and that one's place (or -1).
 
-    With q the one at hand and p[i] the next, their sum s goes to one of them where
-    s <= 1, else one becomes 1 and the other s - 1; each keeps its expectation.
+    The mass that moves between the one at hand (q) and the next (x) is words, not
+    copies, so the expected words of the two stay what they are. It moves one way or the
+    other, each so far as one becomes 0 or 1, with the odds that keep both expectations.
     """
-    p, held = p.copy(), -1
-    for i, (x, draw) in enumerate(zip(p.tolist(), u.tolist())):
+    p, held, q, held_size = p.copy(), -1, 0.0, 0.0
+    for i, (x, s, draw) in enumerate(zip(p.tolist(), size.tolist(), u.tolist())):
         if x <= _EPS or x >= 1 - _EPS:
             p[i] = round(x)
             continue
         if held < 0:
-            held = i
+            held, q, held_size = i, x, s
             continue
-        q, s = float(p[held]), float(p[held]) + x
-        if s <= 1:
-            keep_new = draw * s < x
-            winner, loser = (i, held) if keep_new else (held, i)
-            p[winner], p[loser] = s, 0.0
-        else:
-            one_is_new = draw * (2 - s) < 1 - q
-            winner, loser = (i, held) if one_is_new else (held, i)
-            p[winner], p[loser] = 1.0, s - 1
-            winner = loser
-        held = winner if _EPS < p[winner] < 1 - _EPS else -1
-        if held < 0:
-            p[winner] = round(float(p[winner]))
+        rate = s / held_size
+        up, down = min(1 - x, q / rate), min(x, (1 - q) / rate)
+        move = up if draw * (up + down) < down else -down
+        x, q = x + move, q - move * rate
+        whole_x, whole_q = not _EPS < x < 1 - _EPS, not _EPS < q < 1 - _EPS
+        p[i], p[held] = (round(x) if whole_x else x), (round(q) if whole_q else q)
+        if whole_x and whole_q:
+            held = -1
+        elif whole_q:
+            held, q, held_size = i, x, s
     return p, held
 
 
@@ -119,10 +118,10 @@ _STATE = "doc_id long, size long, number long, bucket long, whole long, p double
 
 def _round_level(level: int, seed: int, last: bool):
     def reduce(key: tuple, t: pa.Table) -> pa.Table:
-        t = t.sort_by([(c, "ascending") for c in ("size", "doc_id", "whole", "p")])
+        t = t.sort_by([("size", "descending"), ("doc_id", "ascending"), ("p", "ascending")])
         ids = t["doc_id"].fill_null(-1).to_numpy().astype(np.int64)
         place = np.arange(len(ids))
-        p, held = pivotal(t["p"].to_numpy(), _uniform(seed, level, ids.view(np.uint64), place))
+        p, held = pivotal(t["p"].to_numpy(), t["size"].to_numpy(), _uniform(seed, level, ids.view(np.uint64), place))
         if last and held >= 0:
             p[held] = float(_uniform(seed, level + 1, ids[held : held + 1].view(np.uint64), 7)[0] < p[held])
         bucket = pa.array(np.full(len(ids), key[1].as_py() // FAN_IN, np.int64))

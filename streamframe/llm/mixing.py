@@ -91,26 +91,41 @@ def pivotal(p: np.ndarray, size: np.ndarray, u: np.ndarray) -> tuple[np.ndarray,
     The mass that moves between the one at hand (q) and the next (x) is words, not
     copies, so the expected words of the two stay what they are. It moves one way or the
     other, each so far as one becomes 0 or 1, with the odds that keep both expectations.
+    A document too large for such a walk over those after it to settle is paired with
+    all of them at once: it becomes 0 or 1, and their probabilities shift together.
     """
-    p, held, q, held_size = p.copy(), -1, 0.0, 0.0
+    n = len(p)
+    rest_words = np.append(np.cumsum(size[::-1])[::-1][1:], 0).astype(float)
+    rest_root = np.sqrt(np.append(np.cumsum((size[::-1].astype(float)) ** 2)[::-1][1:], 0))
+    least = np.append(np.minimum.accumulate(p[::-1])[::-1][1:], 0) if n else p
+    most = np.append(np.maximum.accumulate(p[::-1])[::-1][1:], 1) if n else p
+    out, held, q, held_size, shift = p.copy(), -1, 0.0, 0.0, 0.0
     for i, (x, s, draw) in enumerate(zip(p.tolist(), size.tolist(), u.tolist())):
+        fixed = x <= _EPS or x >= 1 - _EPS
+        x = x if fixed else x + shift
         if x <= _EPS or x >= 1 - _EPS:
-            p[i] = round(x)
+            out[i] = round(x)
             continue
         if held < 0:
+            w = rest_words[i]
+            if s > rest_root[i] / 4 and _EPS < least[i] and most[i] < 1 - _EPS and least[i] + shift - (1 - x) * s / w >= 0 and most[i] + shift + x * s / w <= 1:
+                out[i] = float(draw < x)
+                shift += (x - out[i]) * s / w
+                continue
             held, q, held_size = i, x, s
+            out[i] = x
             continue
         rate = s / held_size
         up, down = min(1 - x, q / rate), min(x, (1 - q) / rate)
         move = up if draw * (up + down) < down else -down
         x, q = x + move, q - move * rate
         whole_x, whole_q = not _EPS < x < 1 - _EPS, not _EPS < q < 1 - _EPS
-        p[i], p[held] = (round(x) if whole_x else x), (round(q) if whole_q else q)
+        out[i], out[held] = (round(x) if whole_x else x), (round(q) if whole_q else q)
         if whole_x and whole_q:
             held = -1
         elif whole_q:
             held, q, held_size = i, x, s
-    return p, held
+    return out, held
 
 
 _STATE = "doc_id long, size long, number long, bucket long, whole long, p double"

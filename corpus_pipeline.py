@@ -1,5 +1,60 @@
-"""placeholder"""
+"""From documents to packed training sequences: five stages over the operators of ``streamframe.llm``.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; its output is written
+as Parquet and read again as the next stage's documents. All but the last return the
+columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from streamframe.llm import exact_dedup, mixing, near_dup, packing, quality
+from streamframe.llm.common import materialize, read
+from streamframe.llm.queries import vocabulary
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the production policy rejects go."""
+    return quality.accepted(docs, quality.POLICIES[quality.PRODUCTION])
+
+
+def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the row with the largest doc_id stays."""
+    return exact_dedup.survivors(docs)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document with the largest doc_id stays."""
+    return near_dup.survivors(docs)
+
+
+def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the mix takes it."""
+    return mixing.mixed(docs)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The place of every piece of every document in the training sequences."""
+    return packing.pack(docs, vocabulary())
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("exact dedup", exact_copies),
+    ("n-gram Jaccard join", near_copies),
+    ("mixing sources", mixing_sources),
+    ("best-fit packing", best_fit_packing),
+]
+
+#: The stages hash and round at random and search locally, which SQL does not express; tests hold them against brute force.
 ORACLE_SQL = None
-STAGES = []
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    for i, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i + 1 < len(STAGES):
+            docs = materialize(docs, name.replace(" ", "-"))
+    return docs

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, near_dup, packing, quality
+from . import exact_dedup, mixing, near_dup, packing, pii, quality
 from .common import read
 
 
@@ -101,3 +102,12 @@ def op4_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.join(read(spark, sf_dir, "documents"))
+
+
+@query
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.detect(read(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", *[pii.counted("base", k).alias(f"n_{k}") for k in pii.KINDS],
+        F.sha2(pii.listed("base").cast("binary"), 256).alias("base_sha256"), pii.listed("spans").alias("spans"),
+    )

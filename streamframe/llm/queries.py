@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, near_dup, packing, pii, quality
+from . import exact_dedup, mixing, near_dup, packing, pii, quality, toxicity
 from .common import read
 
 
@@ -111,3 +111,9 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", *[pii.counted("base", k).alias(f"n_{k}") for k in pii.KINDS],
         F.sha2(pii.listed("base").cast("binary"), 256).alias("base_sha256"), pii.listed("spans").alias("spans"),
     )
+
+
+@query
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = toxicity.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return found.select("doc_id", "held_out", "score", "predicted")

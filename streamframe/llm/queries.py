@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, near_dup, packing, pii, quality, toxicity
+from . import chat, exact_dedup, html_text, mixing, near_dup, packing, pii, quality, toxicity, url_filter
 from .common import read
 
 
@@ -117,3 +117,47 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = toxicity.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
     return found.select("doc_id", "held_out", "score", "predicted")
+
+
+@query
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(read(spark, sf_dir, "pages")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query
+def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-1, 0, "user", own), (-1, 1, "assistant", own)], "conv_id long, turn long, role string, text string")
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
+    return chat.digests(chat.format_chats(turns))
+
+
+@query
+def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(read(spark, sf_dir, "pages"))
+
+
+_RULES_SQL = ", ".join(f"('{r.host}', '{r.path}', {str(r.allow).lower()})" for r in url_filter.RULES)
+_FIT_SQL = "SELECT {0}.k, max_by(struct_pack(rule := r.h || r.p, allow := r.allow), length(r.h || r.p)) AS d FROM {0}, rules r WHERE ({0}.host = r.h OR ends_with({0}.host, '.' || r.h)) AND starts_with({0}.path, r.p) GROUP BY {0}.k"
+
+ORACLES["op7_chat_formatting"] = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (
+  SELECT *, length(regexp_replace(replace(text, '', '\'), '<</SYS>>|<<SYS>>|\[/ROLE\]|\[/INST\]|\[INST\]|\[ASST\]|\[ROLE\]|\[AS\]|</s>|<s>', 'x\0', 'g'))
+    + CASE role WHEN 'system' THEN 15 WHEN 'user' THEN 13 WHEN 'assistant' THEN 10 ELSE 17 + length(role) END AS n FROM turns)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       (3 + sum(n))::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id"""
+ORACLES["op8_url_filters"] = rf"""
+WITH rules(h, p, allow) AS (VALUES {_RULES_SQL}),
+x AS (
+  SELECT row_number() OVER () AS k, page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+y AS (SELECT k, page_id, rest, regexp_extract(rest, '^([^/?#]*)', 1) AS raw FROM x),
+z AS (SELECT k, page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substr(rest, length(raw) + 1), '^([^?#]*)', 1) AS path FROM y),
+fit AS ({_FIT_SQL.format("z")})
+SELECT page_id, host, path, d.rule AS rule, CASE WHEN coalesce(d.allow, true) THEN 'allow' ELSE 'block' END AS verdict
+FROM z LEFT JOIN fit USING (k)"""

@@ -15,6 +15,8 @@ import numpy as np
 
 _SEPARATOR = "\x01"
 _ROUND = 256
+#: Punctuation that is looked for behind letters.
+_TRAILING = b".,!?;:*$%&#|"
 
 
 class ChunkTokenizer:
@@ -27,28 +29,47 @@ class ChunkTokenizer:
         self.tokenizer, self.cached, self.cache = Tokenizer.from_file(path), cached, {}
         mark = self._plain(_SEPARATOR)
         self.mark = mark[0] if len(mark) == 1 else None
+        self.lower = self._plain("The ABC") == self._plain("the abc")
 
     def _plain(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def _learn(self, chunks: list[bytes]) -> None:
+        """Put the ids of unseen chunks into the cache. Letters and the punctuation after them are
+        tokens of their own in any case, so such a chunk's ids are those of its two parts."""
         if len(self.cache) + len(chunks) > self.cached:
             self.cache.clear()
+        known, parts, new = self.cache, [], {}
+        for c in chunks:
+            core = c.rstrip(_TRAILING)
+            if core and len(core) < len(c) and core.decode("utf-8", "surrogatepass").lower().isalpha():
+                parts.append((c, core, c[len(core) :]))
+                new |= {x: None for x in parts[-1][1:] if x not in known}
+            else:
+                new[c] = None
+        self._encode_chunks(list(new))
+        for c, core, tail in parts:
+            known[c] = known[core] + known[tail]
+
+    def _encode_chunks(self, chunks: list[bytes]) -> None:
         for at in range(0, len(chunks), _ROUND):
             part = chunks[at : at + _ROUND]
             words = [c.decode("utf-8", "surrogatepass") for c in part]
             ids = np.array(self.tokenizer.encode_batch_fast([f" {_SEPARATOR} ".join(words)], add_special_tokens=False)[0].ids, "<u4")
             ends = np.flatnonzero(ids == self.mark) if self.mark is not None else ids[:0]
             if self.mark is None or len(ends) != len(part) - 1:
-                found = [np.array(self._plain(w), "<u4") for w in words]
+                found = [np.array(self._plain(w), "<u4").tobytes() for w in words]
             else:
-                found = [x if not i else x[1:] for i, x in enumerate(np.split(ids, ends))]
-            self.cache.update(zip(part, (x.tobytes() for x in found)))
+                data, cuts = ids.tobytes(), (4 * ends).tolist()
+                found = [data[s:e] for s, e in zip([0, *(c + 4 for c in cuts)], [*cuts, len(data)])]
+            self.cache.update(zip(part, found))
 
     def encode(self, text: str | bytes | None) -> bytes:
         if not text:
             return b""
-        chunks = (text.encode("utf-8", "surrogatepass") if isinstance(text, str) else text).split()
+        text = text.encode("utf-8", "surrogatepass") if isinstance(text, str) else text
+        # the vocabulary is lower case; special tokens' strings are not to come about
+        chunks = text.split() if b"<|" in text or not self.lower else text.lower().split()
         try:
             return b"".join(map(self.cache.__getitem__, chunks))
         except KeyError:

@@ -19,14 +19,18 @@ _ROUND = 256
 _TRAILING = b".,!?;:*$%&#|"
 
 
+def _letters(core: bytes) -> bool:
+    return core.isalpha() or bool(core) and not core.isascii() and core.decode("utf-8", "surrogatepass").lower().isalpha()
+
+
 class ChunkTokenizer:
     """``encode(text)`` gives a text's ids as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str, cached: int = 1_000_000):
+    def __init__(self, path: str, cached: int = 700_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.cached, self.cache = Tokenizer.from_file(path), cached, {}
+        self.tokenizer, self.cached, self.cache, self.older = Tokenizer.from_file(path), cached, {}, {}
         mark = self._plain(_SEPARATOR)
         self.mark = mark[0] if len(mark) == 1 else None
         self.lower = self._plain("The ABC") == self._plain("the abc")
@@ -38,16 +42,25 @@ class ChunkTokenizer:
         """Put the ids of unseen chunks into the cache. Letters and the punctuation after them are
         tokens of their own in any case, so such a chunk's ids are those of its two parts."""
         if len(self.cache) + len(chunks) > self.cached:
-            self.cache.clear()
-        known, parts, new = self.cache, [], {}
+            self.older, self.cache = self.cache, {}
+        known, older = self.cache, self.older
+        parts: list[tuple[bytes, bytes, bytes]] = []
+        new: list[bytes] = []
         for c in chunks:
+            if c in older:
+                known[c] = older[c]
+                continue
             core = c.rstrip(_TRAILING)
-            if core and len(core) < len(c) and core.decode("utf-8", "surrogatepass").lower().isalpha():
-                parts.append((c, core, c[len(core) :]))
-                new |= {x: None for x in parts[-1][1:] if x not in known}
-            else:
-                new[c] = None
-        self._encode_chunks(list(new))
+            if len(core) == len(c) or not _letters(core):
+                new.append(c)
+                continue
+            tail = c[len(core) :]
+            parts.append((c, core, tail))
+            for x in (core, tail):
+                if x not in known:
+                    known[x] = b""  # asked for
+                    new.append(x)
+        self._encode_chunks(new)
         for c, core, tail in parts:
             known[c] = known[core] + known[tail]
 
@@ -73,14 +86,15 @@ class ChunkTokenizer:
         try:
             return b"".join(map(self.cache.__getitem__, chunks))
         except KeyError:
-            own = dict.fromkeys(chunks)
-            self._learn([c for c in own if c not in self.cache])
-            if not all(c in self.cache for c in own):  # the cache was emptied meanwhile
-                self._learn([c for c in own if c not in self.cache])
-        got = self.cache
-        if len(own) > self.cached or not all(c in got for c in own):
-            return np.array(self._plain(b" ".join(chunks).decode("utf-8", "surrogatepass")), "<u4").tobytes()
-        return b"".join(map(got.__getitem__, chunks))
+            pass
+        if len(chunks) > self.cached:  # one text fills the cache
+            return np.array(self._plain(text.decode("utf-8", "surrogatepass")), "<u4").tobytes()
+        self._learn([c for c in dict.fromkeys(chunks) if c not in self.cache])
+        # a change of generations empties the cache: what it held of this text is learned again
+        missing = [c for c in dict.fromkeys(chunks) if c not in self.cache]
+        if missing:
+            self._learn(missing)
+        return b"".join(map(self.cache.__getitem__, chunks))
 
 
 def worker_tokenizer(path: str) -> ChunkTokenizer:

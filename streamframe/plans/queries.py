@@ -45,15 +45,15 @@ def click_count(spark, sf_dir):
     return s.aggregate("event_type", clicks=F.count("*")).build().result
 
 
-@query("SELECT l_orderkey, l_linenumber, upper(l_shipmode) AS mode, CAST(round(l_extendedprice * (1 - l_discount), 2) AS DOUBLE) AS revenue FROM lineitem")
+@query("SELECT l_orderkey, l_linenumber, lower(l_returnflag) AS flag, CAST(round(l_extendedprice * (1 - l_discount), 2) AS DOUBLE) AS revenue FROM lineitem")
 def map_project(spark, sf_dir):
     revenue = F.round(F.col("l_extendedprice") * (1 - F.col("l_discount")), 2).cast("double")
-    return _start(spark, sf_dir, "lineitem").map("l_orderkey", "l_linenumber", mode=F.upper("l_shipmode"), revenue=revenue).build().result
+    return _start(spark, sf_dir, "lineitem").map("l_orderkey", "l_linenumber", flag=F.lower("l_returnflag"), revenue=revenue).build().result
 
 
-@query("SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_quantity > 45 AND l_shipmode IN ('AIR', 'RAIL')")
+@query("SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_quantity > 45 AND l_returnflag IN ('A', 'R')")
 def filter_predicate(spark, sf_dir):
-    s = _start(spark, sf_dir, "lineitem").filter((F.col("l_quantity") > 45) & F.col("l_shipmode").isin("AIR", "RAIL"))
+    s = _start(spark, sf_dir, "lineitem").filter((F.col("l_quantity") > 45) & F.col("l_returnflag").isin("A", "R"))
     return s.map("l_orderkey", "l_linenumber", "l_quantity").build().result
 
 

@@ -45,9 +45,9 @@ def click_count(spark, sf_dir):
     return s.aggregate("event_type", clicks=F.count("*")).build().result
 
 
-@query("SELECT l_orderkey, l_linenumber, lower(l_returnflag) AS flag, CAST(round(l_extendedprice * (1 - l_discount), 2) AS DOUBLE) AS revenue FROM lineitem")
+@query("SELECT l_orderkey, l_linenumber, lower(l_returnflag) AS flag, l_extendedprice * (1 - l_discount) AS revenue FROM lineitem")
 def map_project(spark, sf_dir):
-    revenue = F.round(F.col("l_extendedprice") * (1 - F.col("l_discount")), 2).cast("double")
+    revenue = F.col("l_extendedprice") * (1 - F.col("l_discount"))
     return _start(spark, sf_dir, "lineitem").map("l_orderkey", "l_linenumber", flag=F.lower("l_returnflag"), revenue=revenue).build().result
 
 

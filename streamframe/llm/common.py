@@ -11,6 +11,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -84,3 +85,11 @@ def small_batches(spark: SparkSession, rows: int = 512) -> None:
 
 def size_of(df: DataFrame) -> int:
     return df.agg(F.count("*")).first()[0]
+
+
+def fresh(columns: Iterable[str], name: str) -> str:
+    """``name``, or one like it that none of the columns has in any case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from .common import materialize, new_path, small_batches
+from .common import fresh, materialize, new_path, small_batches
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Bytes of texts that a task of the byte check remembers, so that it forwards copies once.
@@ -161,22 +161,16 @@ def survivors(docs: DataFrame, digest_bytes: int = 32) -> DataFrame:
     found = deduplicate(docs, digest_bytes)
     keep = materialize(found.filter("kept").select("doc_id", "text_sha256"), "dedup-kept")
     repeated = found.filter("NOT kept AND doc_id <=> keep_id").select("doc_id").limit(1)
-    at = docs.columns.index("text")
+    at, sha = docs.columns.index("text"), fresh(docs.columns, "_sha")
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             full = pa.array([hashlib.sha256(t).hexdigest() for t in _texts(b.column(at))], pa.string())
-            yield pa.RecordBatch.from_arrays([*b.columns, full], [*b.schema.names, "_sha"])
+            yield pa.RecordBatch.from_arrays([*b.columns, full], [*b.schema.names, sha])
 
     small_batches(docs.sparkSession)
-    marked = docs.mapInArrow(add, _with(docs, "_sha"))
-    k = keep.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_keep"))
-    out = marked.join(k, (F.col("doc_id").eqNullSafe(F.col("_id"))) & (F.col("_sha") == F.col("_keep")), "left_semi")
+    marked = docs.mapInArrow(add, StructType([*docs.schema.fields, StructField(sha, StringType())]))
+    out = marked.join(keep, marked["doc_id"].cast("long").eqNullSafe(keep["doc_id"]) & (marked[sha] == keep["text_sha256"]), "left_semi")
     if not repeated.isEmpty():
-        out = out.dropDuplicates(["doc_id", "_sha"])
-    return out.drop("_sha")
-
-
-def _with(docs: DataFrame, name: str) -> StructType:
-    return StructType([*docs.schema.fields, StructField(name, StringType())])
-
+        out = out.dropDuplicates(["doc_id", sha])
+    return out.drop(sha)

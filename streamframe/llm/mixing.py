@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize, small_batches
+from .common import fresh, materialize, small_batches
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST = 3.0
@@ -180,14 +180,15 @@ def mixed(docs: DataFrame, seed: int = 0) -> DataFrame:
 
     Where rows share a doc_id, their copies are summed and dealt over them evenly.
     """
-    by = mix(docs, seed).filter("copies > 0").groupBy("doc_id").agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows"))
-    by = materialize(by.withColumnRenamed("doc_id", "_id"), "copies")
-    out = docs.join(by, docs["doc_id"].cast("long").eqNullSafe(by["_id"]))
-    if by.filter("_rows > 1").isEmpty():
-        n = F.col("_copies")
+    key, copies, rows, place, same, n, copy = (fresh(docs.columns, x) for x in ("_id", "_copies", "_rows", "_place", "_same", "_n", "_copy"))
+    by = mix(docs, seed).filter("copies > 0").groupBy(F.col("doc_id").alias(key)).agg(F.sum("copies").alias(copies), F.count("*").alias(rows))
+    by = materialize(by, "copies")
+    out = docs.join(by, docs["doc_id"].cast("long").eqNullSafe(by[key]))
+    if by.filter(F.col(rows) > 1).isEmpty():
+        taken = F.col(copies)
     else:
-        n_same = F.count("*").over(Window.partitionBy("_id"))
-        place = F.row_number().over(Window.partitionBy("_id").orderBy(F.xxhash64("text")))
-        out = out.withColumns({"_place": place, "_same": n_same})
-        n = F.floor(F.col("_copies") / F.col("_same")) + (F.col("_place") <= F.col("_copies") % F.col("_same")).cast("long")
-    return out.withColumn("_n", n.cast("int")).filter("_n > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*docs.columns)
+        own = Window.partitionBy(key)
+        out = out.withColumns({place: F.row_number().over(own.orderBy(F.xxhash64("text"))), same: F.count("*").over(own)})
+        taken = F.floor(F.col(copies) / F.col(same)) + (F.col(place) <= F.col(copies) % F.col(same)).cast("long")
+    out = out.withColumn(n, taken.cast("int")).filter(F.col(n) > 0)
+    return out.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*[docs[c] for c in docs.columns])

@@ -133,7 +133,7 @@ def votes(kind: str, text: str, start: int, end: int, strict: bool) -> tuple[tup
     left, right = text[start - 1 : start], text[end : end + 1]
     edges = -1 if left.isalnum() or right.isalnum() else 1
     seps = {c for c in s if not c.isalnum()}
-    layout = 1 if len(seps) <= 3 and len(s) <= 64 else -1
+    layout = 1 if len(seps) <= 5 and len(s) <= 64 else -1
     shape = min(SHAPES - 1, len(seps))
     return (1 if strict else -1, value, gazetteer, context, edges, layout), shape
 

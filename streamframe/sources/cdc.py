@@ -32,7 +32,7 @@ def from_wal2json(lines: DataFrame, column: str, schema: str | None = None, tabl
 
     One row per change of the named table; deletes carry their old keys.
     """
-    m = lines.withColumn("_m", F.from_json(column, _WAL2JSON.replace("struct<", "", 1)[:-1]))
+    m = lines.withColumn("_m", F.from_json(column, _WAL2JSON))
     rest = [c for c in lines.columns if c != column]
     c = m.select(*rest, F.to_timestamp("_m.timestamp").alias("change_time"), F.posexplode("_m.change").alias("place", "c"))
     if schema:

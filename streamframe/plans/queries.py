@@ -9,6 +9,7 @@ from ..builder import StreamBuilder
 from ..functions import codecs, hashing, parsing, unions
 from ..operators import join as joins
 from ..operators import keyed, windows
+from ..shared import work_path
 from ..sources import cdc
 from ..state import relational
 
@@ -363,3 +364,53 @@ def row_hash(spark, sf_dir):
 @query("SELECT user_id, ts, max(value) AS top FROM events GROUP BY user_id, ts HAVING count(*) > 0")
 def keyed_by_two_columns(spark, sf_dir):
     return keyed.aggregate(_t(spark, sf_dir, "events"), ["user_id", "ts"], {"top": F.max("value")})
+
+
+# Streams: the same plans by Structured Streaming over the table's files, to their end.
+
+
+def _streamed(spark: SparkSession, sf_dir: str, name: str, plan, columns: list[str], version: str) -> DataFrame:
+    """Run a stateful plan in update mode with RocksDB state; the newest row of each key is its state."""
+    from ..streaming.processors import ROCKSDB
+
+    path = f"{sf_dir}/events.parquet"
+    store = "spark.sql.streaming.stateStore"
+    wanted = {f"{store}.providerClass": ROCKSDB, f"{store}.rocksdb.changelogCheckpointing.enabled": "true", f"{store}.rocksdb.allowFAllocate": "false"}
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    work = work_path(spark, name)
+    try:
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
+        # as a pattern, the path may be one file as well as a folder of files
+        source = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{sf_dir}/events.parque[t]")
+        out = plan(source)
+
+        def save(batch: DataFrame, n: int) -> None:
+            batch.write.mode("overwrite").parquet(f"{work}/out/batch={n}")
+
+        q = out.writeStream.outputMode("update").foreachBatch(save).option("checkpointLocation", f"{work}/check").trigger(availableNow=True).start()
+        q.awaitTermination()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    return joins.latest_per_key(spark.read.parquet(f"{work}/out"), columns, [version]).drop("batch")
+
+
+@query("SELECT user_id, count(*) AS n, min(event_id) AS first_id, max(event_id) AS last_id FROM events GROUP BY user_id")
+def stream_aggregate(spark, sf_dir):
+    plan = lambda e: keyed.aggregate(e, "user_id", {"n": F.count("*"), "first_id": F.min("event_id"), "last_id": F.max("event_id")})
+    return _streamed(spark, sf_dir, "aggregate", plan, ["user_id"], "batch")
+
+
+@query("SELECT event_type, time_bucket(INTERVAL 1 DAY, ts) AS window_start, time_bucket(INTERVAL 1 DAY, ts) + INTERVAL 1 DAY AS window_end, count(*) AS n FROM events GROUP BY ALL")
+def stream_tumbling(spark, sf_dir):
+    plan = lambda e: windows.tumbling(e.withColumn("ts", F.col("ts").cast("timestamp")), "event_type", "ts", "1 day", {"n": F.count("*")})
+    out = _streamed(spark, sf_dir, "tumbling", plan, ["event_type", "window_start", "window_end"], "batch")
+    return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")})
+
+
+@query("SELECT event_id, c_mktsegment FROM events JOIN customer ON user_id = c_custkey")
+def stream_static_join(spark, sf_dir):
+    table = _t(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
+    plan = lambda e: joins.stream_table_join(e, table, "user_id", "c_custkey", ["event_id", "c_mktsegment"])
+    return _streamed(spark, sf_dir, "join", plan, ["event_id"], "batch")

@@ -12,10 +12,17 @@ from typing import Any
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import StructType
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+def _with(df: DataFrame, name: str, kind: str) -> StructType:
+    if name in df.columns:
+        raise ValueError(f"the rows have a column {name!r} already")
+    return StructType([*df.schema.fields, *StructType.fromDDL(f"`{name}` {kind}").fields])
+
+
 def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
@@ -45,7 +52,7 @@ class _Fold(StatefulProcessor):
 def fold_per_row(df: DataFrame, key: str, step: Callable[[Any, dict], Any], initial: Any, state: str, order_by: Sequence[str], name: str = "state") -> DataFrame:
     """Each input row with the state of its key after it: ``step(state, row)`` from ``initial``."""
     use_rocksdb(df.sparkSession)
-    schema = df.schema.add(name, state) if name not in df.columns else df.schema
+    schema = _with(df, name, state)
     return df.groupBy(key).transformWithStateInPandas(_Fold(step, initial, state, order_by, name), schema, "Update", "None")
 
 
@@ -73,7 +80,7 @@ class _Group(StatefulProcessor):
 def group_per_row(df: DataFrame, key: str, column: str, kind: str, order_by: Sequence[str], name: str = "values") -> DataFrame:
     """Each input row with the list of its key's values so far."""
     use_rocksdb(df.sparkSession)
-    return df.groupBy(key).transformWithStateInPandas(_Group(column, kind, order_by, name), df.schema.add(name, f"array<{kind}>"), "Update", "None")
+    return df.groupBy(key).transformWithStateInPandas(_Group(column, kind, order_by, name), _with(df, name, f"array<{kind}>"), "Update", "None")
 
 
 class _Clock(StatefulProcessor):

@@ -297,3 +297,45 @@ def test_queries_equal_their_sql(spark):
         got = sorted(str(tuple(plain(x) for x in r)) for r in df.select(*cols).collect())
         want = sorted(str(tuple(plain(x) for x in r)) for r in db.execute(f"SELECT {', '.join(cols)} FROM ({queries.ORACLES[name]})").fetchall())
         assert got == want, name
+
+
+def test_change_feeds_resume_and_acknowledge():
+    from streamframe.sources import cdc_feeds
+
+    log = [("0/A", "a"), ("0/1F", "b"), ("1/0", "c")]
+
+    class Cursor:
+        def execute(self, sql, values):
+            if "advance" in sql:
+                log[:] = [r for r in log if cdc_feeds.lsn_number(r[0]) > cdc_feeds.lsn_number(values[1])]
+
+        def fetchall(self):
+            return list(log)
+
+    class Database:
+        cursor, commit, close = (lambda s: Cursor()), (lambda s: None), (lambda s: None)
+
+    feed = cdc_feeds.postgres_feed("pg", Database, "slot")({})
+    rows, end = feed.poll(feed.first_offset())
+    assert [r[1] for r in rows] == ["a", "b", "c"] and end == {"lsn": "1/0"} and [r[1] for r in feed.replay({"lsn": "0/A"}, end)] == ["b", "c"]
+    feed.acknowledge({"lsn": "0/1F"})
+    assert log == [("1/0", "c")] and feed.poll(end) == ([], end)
+
+    class Events:
+        def __init__(self, after):
+            self.left, self.resume_token = [e for e in (1, 2, 3) if after is None or e > after], after
+
+        __enter__, __exit__ = (lambda s: s), (lambda s, *a: None)
+
+        def try_next(self):
+            if not self.left:
+                return None
+            self.resume_token = self.left.pop(0)
+            return {"operationType": "insert", "n": self.resume_token}
+
+    collection = type("C", (), {"watch": lambda self, full_document, resume_after: Events(resume_after)})
+    feed = cdc_feeds.mongo_feed("m", collection, 2)({})
+    rows, end = feed.poll(feed.first_offset())
+    assert len(rows) == 2 and end == {"token": 2} and list(feed.replay({"token": 1}, end)) == rows[1:]
+    with pytest.raises(ValueError):
+        cdc_feeds.sqlserver_feed("s", None, "x; drop", "*")

@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize, small_batches
@@ -133,6 +133,7 @@ class BlockMaxIndex:
         weighed = [(i, y, *weigh(t, c, idf)) for i, y, t, c in examples]
         # alike examples share blocks: by their heaviest term, then by identifier
         weighed.sort(key=lambda e: (int(e[2][np.argmax(e[3])]) if len(e[2]) else -1, e[0]))
+        self.vectors = [(e[2], e[3]) for e in weighed]
         self.ids, self.labels = np.array([e[0] for e in weighed], np.int64), np.array([e[1] for e in weighed], float)
         n, v = len(weighed), len(idf)
         self.blocks = -(-n // block)
@@ -155,6 +156,8 @@ class BlockMaxIndex:
             if bounds[b] <= 0 or len(best_w) == k and bounds[b] < best_w[-1] - 1e-12:
                 break
             base = b * self.block
+            if len(best_w) == k and np.round(bounds[b], 12) <= best_w[-1] and base > best_i[-1]:
+                continue  # at best ties with the last one held, which stands before them
             score = np.zeros(min(self.block, len(self.ids) - base))
             for x, q in zip(t.tolist(), w.tolist()):
                 s, e = self.start[x, b], self.start[x, b + 1]
@@ -211,10 +214,7 @@ def score(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, k: int =
     idf[_OTHER] = OTHER_WEIGHT
     examples = sorted((tuple(r) for r in vectors(sample, terms, ("doc_id", "toxic")).collect()), key=str)  # at most ``labelled`` short vectors
     index = BlockMaxIndex(examples, idf)
-    own = []
-    for i, (_, _, t, c) in enumerate(sorted_like(index, examples)):
-        own.append(index.vote(*index.nearest(*weigh(t, c, idf), k, but=i)))
-    fit = calibration(np.array(own), index.labels)
+    fit = calibration(leave_one_out(docs.sparkSession, index, k), index.labels)
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         same: dict[tuple, tuple] = {}
@@ -241,10 +241,15 @@ def score(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, k: int =
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
 
 
-def sorted_like(index: BlockMaxIndex, examples: list[tuple]) -> list[tuple]:
-    """The examples in the index's order."""
-    def key(e: tuple) -> tuple:
-        t, w = weigh(e[2], e[3], index.idf)
-        return (int(t[np.argmax(w)]) if len(t) else -1, e[0])
+def leave_one_out(spark: SparkSession, index: BlockMaxIndex, k: int) -> np.ndarray:
+    """Each example's vote by the others, in the index's order; as many votes as examples, made on the executors."""
+    n = len(index.labels)
 
-    return sorted(examples, key=key)
+    def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = b.column(0).to_pylist()
+            got = [index.vote(*index.nearest(*index.vectors[i], k, but=i)) for i in at]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.float64())], ["id", "vote"])
+
+    rows = spark.range(0, n, 1, max(1, -(-n // 256))).mapInArrow(votes, "id long, vote double").collect() if n else []
+    return np.array([v for _, v in sorted((r[0], r[1]) for r in rows)])

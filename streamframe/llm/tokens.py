@@ -10,6 +10,8 @@ from __future__ import annotations
 import os
 import sys
 import types
+from struct import pack
+from unicodedata import is_normalized
 
 import numpy as np
 
@@ -19,8 +21,24 @@ _ROUND = 256
 _TRAILING = b".,!?;:*$%&#|"
 
 
-def _letters(core: bytes) -> bool:
-    return core.isalpha() or bool(core) and not core.isascii() and core.decode("utf-8", "surrogatepass").lower().isalpha()
+def _letters(core: bytes) -> str:
+    """The lower-cased word that a chunk of letters is, or an empty string where it may be more than that."""
+    if core.isalpha():  # of bytes: ASCII letters, in lower case by now or not
+        return core.decode().lower()
+    if not core or core.isascii():
+        return ""
+    word = core.decode("utf-8", "surrogatepass")
+    lower = word.lower()
+    # a lower case that depends on the word's end, or is longer, is left to the tokenizer itself
+    plain = lower.isalpha() and len(lower) == len(word) and "\u03c2" not in lower and "\u03c3" not in lower
+    return lower if plain and is_normalized("NFC", word) and is_normalized("NFC", lower) else ""
+
+
+def _byte_letters() -> list[str]:
+    """The character that stands for each byte in a byte-level vocabulary: itself if it is printable, else one from 256 on."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = (chr(256 + n) for n in range(256))
+    return [chr(b) if b in printable else next(rest) for b in range(256)]
 
 
 class ChunkTokenizer:
@@ -34,35 +52,50 @@ class ChunkTokenizer:
         mark = self._plain(_SEPARATOR)
         self.mark = mark[0] if len(mark) == 1 else None
         self.lower = self._plain("The ABC") == self._plain("the abc")
+        self._word = self._direct()
 
     def _plain(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def _learn(self, chunks: list[bytes]) -> None:
         """Put the ids of unseen chunks into the cache. Letters and the punctuation after them are
-        tokens of their own in any case, so such a chunk's ids are those of its two parts."""
+        tokens of their own in any case, so such a chunk's ids are those of its two parts; and a
+        word of letters goes to the vocabulary's model itself, past all splitting."""
         if len(self.cache) + len(chunks) > self.cached:
             self.older, self.cache = self.cache, {}
-        known, older = self.cache, self.older
-        parts: list[tuple[bytes, bytes, bytes]] = []
-        new: list[bytes] = []
+        known, older, word = self.cache, self.older, self._word
+        other: list[bytes] = []
         for c in chunks:
-            if c in older:
-                known[c] = older[c]
-                continue
-            core = c.rstrip(_TRAILING)
-            if len(core) == len(c) or not _letters(core):
-                new.append(c)
-                continue
-            tail = c[len(core) :]
-            parts.append((c, core, tail))
-            for x in (core, tail):
-                if x not in known:
-                    known[x] = b""  # asked for
-                    new.append(x)
-        self._encode_chunks(new)
-        for c, core, tail in parts:
-            known[c] = known[core] + known[tail]
+            ids = older.get(c)
+            if ids is None:
+                core = c.rstrip(_TRAILING)
+                letters = word and _letters(core)
+                if not letters:
+                    other.append(c)
+                    continue
+                ids = known.get(core) or older.get(core)
+                if ids is None:
+                    ids = known[core] = word(letters)
+                if len(core) < len(c):
+                    tail = c[len(core) :]
+                    if tail not in known:
+                        self._encode_chunks([tail])
+                    ids += known[tail]
+            known[c] = ids
+        self._encode_chunks(other)
+
+    def _direct(self):
+        """The ids of a lower-case word of letters by the model alone, if it is proven to give what the tokenizer gives."""
+        model, table = self.tokenizer.model, _byte_letters()
+
+        def word(letters: str) -> bytes:
+            s = letters if letters.isascii() else "".join(map(table.__getitem__, letters.encode()))
+            ids = [t.id for t in model.tokenize(s)]
+            return pack(f"<{len(ids)}I", *ids)
+
+        proof = ("a", "the", "token", "\u00e9t\u00e9", "\u00fc\u00dfig", "\u4e2d\u6587", "ni\u00f1o", "zzyzx")
+        same = all(word(w) == np.array(self._plain(w), "<u4").tobytes() for w in proof)
+        return word if same and self.lower and self._plain("ab,") == self._plain("ab") + self._plain(",") else None
 
     def _encode_chunks(self, chunks: list[bytes]) -> None:
         for at in range(0, len(chunks), _ROUND):

@@ -9,9 +9,9 @@ from __future__ import annotations
 
 import json
 import time
-import urllib.request
 from collections.abc import Callable, Iterable, Iterator
 from typing import Any
+from urllib.request import Request, urlopen
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -102,8 +102,8 @@ class _HttpClient:
 
     def send(self, messages: list[str]) -> None:
         for m in messages:
-            request = urllib.request.Request(self.url, m.encode(), self.headers, method="POST")
-            with urllib.request.urlopen(request, timeout=30) as answer:
+            request = Request(self.url, m.encode(), self.headers, method="POST")
+            with urlopen(request, timeout=30) as answer:
                 answer.read()
 
 
@@ -203,7 +203,7 @@ class HttpSource(PolledSource):
 
     def poll(self, offset: dict) -> tuple[list[tuple], dict]:
         def get() -> bytes:
-            with urllib.request.urlopen(self.options["url"], timeout=30) as answer:
+            with urlopen(self.options["url"], timeout=30) as answer:
                 return answer.read()
 
         body = with_retries(get, int(self.options.get("tries", 3)), float(self.options.get("wait", 0.5)))

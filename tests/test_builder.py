@@ -236,3 +236,53 @@ def test_fan_out_and_live_tables(spark, tmp_path):
     assert len(got["even"]) == 5 and len(got["all"]) == 10
     live_table_join(src(), lambda: spark.createDataFrame([(3, "x")], "k long, v string"), lambda d, t: d.join(t, d.id == t.k), lambda d: got["live"].extend(r.v for r in d.collect()), f"{tmp_path}/c2").awaitTermination()
     assert got["live"] == ["x"]
+
+
+def test_windows_by_the_clock(spark, tmp_path):
+    import time
+
+    from streamframe.streaming import session_by_clock, tumbling_by_clock
+
+    for name, make in (("tumbling", tumbling_by_clock), ("session", session_by_clock)):
+        e, got = Emitter(spark, "key string, value int", f"file://{tmp_path}/{name}-in"), []
+        out = make(e.stream(), "key", "value", "int", 400, lambda v: int(sum(v)), "long")
+        q = out.writeStream.outputMode("update").foreachBatch(lambda b, _, got=got: got.extend((r.key, r.value) for r in b.collect())).option("checkpointLocation", f"{tmp_path}/{name}").start()
+        try:
+            e.emit([("a", 1), ("a", 2)])
+            for _ in range(80):  # a query with timers never has nothing to do, so it is polled
+                if got:
+                    break
+                q.awaitTermination(0.5)
+            assert got == [("a", 3)]
+        finally:
+            q.stop()
+
+
+def test_http_source_polls(spark, tmp_path):
+    import http.server
+    import threading
+
+    from streamframe.sources.connectors import http_source
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(b'{"ID": 4, "name": "x"}')
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    got = []
+    q = http_source(spark, f"http://127.0.0.1:{server.server_port}/", "id int, name string").writeStream.foreachBatch(lambda b, _: got.extend((r.id, r.name) for r in b.collect())).option("checkpointLocation", f"{tmp_path}/c").start()
+    try:
+        for _ in range(60):
+            if got:
+                break
+            q.awaitTermination(0.5)
+    finally:
+        q.stop()
+        server.shutdown()
+    assert got[0] == (4, "x")

@@ -210,16 +210,16 @@ def stream_table_join(spark, sf_dir):
     return _start(spark, sf_dir, "events").join(table, "user_id", "c_custkey", ["event_id", "c_custkey", "c_mktsegment"], small=True).build().result
 
 
-@query("SELECT event_id, CASE WHEN c_custkey % 2 = 0 THEN NULL ELSE c_name END AS name FROM events JOIN customer ON user_id = c_custkey")
+@query("SELECT event_id, CASE WHEN c_acctbal < 0 THEN NULL ELSE c_name END AS name FROM events JOIN customer ON user_id = c_custkey")
 def join_null_value(spark, sf_dir):
     """A key whose value is null still joins."""
-    table = _t(spark, sf_dir, "customer").select("c_custkey", F.when(F.col("c_custkey") % 2 != 0, F.col("c_name")).alias("name"))
+    table = _t(spark, sf_dir, "customer").select("c_custkey", F.when(F.col("c_acctbal") >= 0, F.col("c_name")).alias("name"))
     return _start(spark, sf_dir, "events").join(table, "user_id", "c_custkey", ["event_id", "name"]).build().result
 
 
-@query("SELECT event_id, user_id FROM events WHERE user_id IN (SELECT c_custkey FROM customer WHERE c_custkey < 50)")
+@query("SELECT event_id, user_id FROM events WHERE user_id IN (SELECT c_custkey FROM customer WHERE c_acctbal > 5000)")
 def join_unmatched(spark, sf_dir):
-    return _start(spark, sf_dir, "events").join(_t(spark, sf_dir, "customer").filter("c_custkey < 50"), "user_id", "c_custkey", ["event_id", "user_id"]).build().result
+    return _start(spark, sf_dir, "events").join(_t(spark, sf_dir, "customer").filter("c_acctbal > 5000"), "user_id", "c_custkey", ["event_id", "user_id"]).build().result
 
 
 @query("""SELECT e.event_id, o.o_orderkey AS latest_order FROM events e JOIN (
@@ -281,17 +281,19 @@ def store_latest_version(spark, sf_dir):
     return joins.latest_per_key(e, "user_id", ["ts", "event_id"]).select("user_id", "event_type", "event_id")
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey >= 100 UNION ALL SELECT c_custkey, c_name || '*' FROM customer WHERE c_custkey < 50")
+@query("SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN c_name || '*' ELSE c_name END AS c_name FROM customer WHERE c_mktsegment <> 'MACHINERY'")
 def store_upsert_remove(spark, sf_dir):
-    """Keys below 50 are replaced, those from 50 to 99 removed."""
-    c = _t(spark, sf_dir, "customer").select("c_custkey", "c_name")
-    changes = c.filter("c_custkey < 100").select("c_custkey", F.concat("c_name", F.lit("*")).alias("c_name"), (F.col("c_custkey") >= 50).alias("gone"))
-    return relational.upsert(c, changes, "c_custkey", "gone")
+    """One segment's rows are replaced, another's removed."""
+    c = _t(spark, sf_dir, "customer")
+    changes = c.filter("c_mktsegment IN ('BUILDING', 'MACHINERY')").select("c_custkey", F.concat("c_name", F.lit("*")).alias("c_name"), (F.col("c_mktsegment") == "MACHINERY").alias("gone"))
+    return relational.upsert(c.select("c_custkey", "c_name"), changes, "c_custkey", "gone")
 
 
-@query("SELECT count(*) AS n, count(DISTINCT user_id) AS keys FROM events WHERE user_id = 7")
+@query("SELECT event_id, event_type FROM events WHERE user_id = (SELECT max(user_id) FROM events)")
 def store_point_lookup(spark, sf_dir):
-    return _t(spark, sf_dir, "events").filter("user_id = 7").agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("keys"))
+    """All rows of one key: the lookup's filter reaches the scan."""
+    e = _t(spark, sf_dir, "events")
+    return e.filter(F.col("user_id") == e.agg(F.max("user_id")).first()[0]).select("event_id", "event_type")
 
 
 @query("SELECT o_orderkey, string_agg(l_linenumber::VARCHAR || ':' || l_partkey::VARCHAR, ',' ORDER BY l_linenumber, l_partkey, l_suppkey) AS items FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY o_orderkey")
@@ -345,9 +347,9 @@ def base64_codec(spark, sf_dir):
     return c.withColumn("back", codecs.from_base64(F.col("b")))
 
 
-@query("SELECT c_custkey, c_custkey::VARCHAR || ',' || coalesce(c_name, '') || ',' || coalesce(CASE WHEN c_custkey % 3 > 0 THEN c_mktsegment END, '') AS line FROM customer")
+@query("SELECT c_custkey, c_custkey::VARCHAR || ',' || coalesce(c_name, '') || ',' || coalesce(CASE WHEN c_acctbal > 0 THEN c_mktsegment END, '') AS line FROM customer")
 def csv_line(spark, sf_dir):
-    return _t(spark, sf_dir, "customer").select("c_custkey", codecs.csv_line("c_custkey", "c_name", F.when(F.col("c_custkey") % 3 > 0, F.col("c_mktsegment"))).alias("line"))
+    return _t(spark, sf_dir, "customer").select("c_custkey", codecs.csv_line("c_custkey", "c_name", F.when(F.col("c_acctbal") > 0, F.col("c_mktsegment"))).alias("line"))
 
 
 @query("SELECT c_custkey, coalesce(try_cast(right(c_name, 3) AS INT), 0) AS number, coalesce(try_cast(c_mktsegment AS INT), 0) AS failed FROM customer")

@@ -13,7 +13,8 @@ are sorted within hash partitions and read as a stream: a task holds one convers
 turns, never a partition.
 
 Defined results: null role or text is empty. Turns stand by turn (null first), then
-role, then text. A null conv_id is a conversation of its own.
+role, then text; rows that repeat are turns each. A null conv_id is a conversation of its own.
+Extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations

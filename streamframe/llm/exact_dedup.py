@@ -12,7 +12,8 @@
    one text (none with SHA-256, many with a short digest) are resolved by the texts.
 
 Of equal texts the row with the largest doc_id stays (null is smallest; of rows that
-repeat a doc_id, the one met last in the fingerprint table). Null text is empty text.
+repeat a doc_id, the one met last in the fingerprint table). Null text is empty text. Extra
+columns are ignored, or passed on as they came; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ first and last lines lie outside the region, other containers' lines do not belo
 
 Defined results: null or empty html, and pages without text, give an empty text.
 Unclosed and crossed tags are read as they come; an unclosed comment or script runs to
-the end of the page. Reading is linear in the page's length.
+the end of the page. Reading is linear in the page's length. Repeated rows are read each on
+its own; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ words miss its target by less than one document.
 
 Random numbers and groups are hashes of identifiers, so reruns agree, whatever the
 partitions. Null text has no words and is taken zero words of. A null source is a
-source of its own. Rows that repeat a doc_id are mixed each on its own.
+source of its own. Rows that repeat a doc_id are mixed each on its own. Extra columns are
+ignored, or passed on as they came; an empty table gives an empty mix.
 """
 
 from __future__ import annotations

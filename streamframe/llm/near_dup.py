@@ -16,7 +16,8 @@
 Defined results: a text of one to four words has one shingle, all of them; texts
 without words are equal and link to nothing else. Null text is empty text. Of a group
 the document with the largest doc_id stays. Rows that repeat a doc_id and its text
-stay or go together; exact deduplication removes them before.
+stay or go together; exact deduplication removes them before. Extra columns are ignored, or
+passed on as they came; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -8,8 +8,8 @@ whenever that raises the squared fill, until the bin is empty or nothing helps.
 that stay far from full go, document by document, to the next level of a reduction
 tree, where fewer groups pack them again.
 
-Null and empty texts hold their end mark only. Repeated rows are packed each on its
-own. Groups depend on identifiers and counts only, so reruns agree.
+Null and empty texts hold their end mark only; texts of any length are cut. Repeated rows
+are packed each on its own; extra columns are ignored; an empty table has no sequences. Groups depend on identifiers and counts only, so reruns agree.
 """
 
 from __future__ import annotations

@@ -16,6 +16,8 @@ Defined results: null and empty texts hold no words; they get the base rate of t
 sample. With no labelled row the score is 0. Labels, language, source and identifiers
 are no inputs of a score; rows held out are never in the sample. Several labels for one
 doc_id count as the largest, several documents for one labelled doc_id each as an example.
+Rows that repeat are scored each; extra columns are ignored; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations

@@ -278,8 +278,9 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLER
     found = materialize(sketches(docs), "sketches")
     classes = materialize(classes_of(found), "classes")
     near = materialize(candidates(classes), "candidates")
-    blocks = near.groupBy("component").agg(F.ceil(F.count("*") / block).alias("blocks"))
-    members = near.join(blocks, "component").join(classes.select("node", "doc_id", "digest", "signature"), "node")
+    # only components of more than one block are looked up: few, so most rows never move for it
+    large = materialize(near.groupBy("component").agg(F.ceil(F.count("*") / block).alias("blocks")).filter("blocks > 1"), "large-components")
+    members = near.join(large, "component", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long"))).join(classes.select("node", "doc_id", "digest", "signature"), "node")
     tasks = max(1, -(-near.count() // block))
     links = materialize(verified(member_sets(docs, members), threshold, tolerance, block, tasks), "links")
     group = components(links.filter("other IS NOT NULL").select("node", "other"), "node", "other")

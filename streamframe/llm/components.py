@@ -13,26 +13,32 @@ from pyspark.sql import functions as F
 from .common import drop, new_path
 
 
-def _written(edges: DataFrame) -> tuple[DataFrame, str, tuple]:
+def _written(edges: DataFrame) -> tuple[DataFrame, str]:
     spark, path = edges.sparkSession, new_path(edges.sparkSession, "edges")
     edges.write.parquet(path)
-    e = spark.read.schema(edges.schema).parquet(path)
-    return e, path, tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    return spark.read.schema(edges.schema).parquet(path), path
+
+
+def _are_stars(e: DataFrame) -> bool:
+    """Whether every edge leads from a node with no other edge to a node that none leads from: one combined aggregate."""
+    ends = e.select(F.col("u").alias("n"), "v", F.lit(1).alias("leaf"), F.lit(0).alias("root")).unionByName(
+        e.select(F.col("v").alias("n"), F.lit(None).cast(e.schema["v"].dataType).alias("v"), F.lit(0).alias("leaf"), F.lit(1).alias("root"))
+    )
+    by = ends.groupBy("n").agg(F.min("v").alias("low"), F.max("v").alias("high"), F.max("leaf").alias("leaf"), F.max("root").alias("root"))
+    return by.filter("low <> high OR leaf + root = 2").isEmpty()
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, component: every node that has an edge to another, and the smallest node it is connected with."""
     u, v = F.greatest(a, b), F.least(a, b)
-    e, path, sign = _written(edges.filter(F.col(a) != F.col(b)).select(u.alias("u"), v.alias("v")).distinct())
-    while True:
+    e, path = _written(edges.filter(F.col(a) != F.col(b)).select(u.alias("u"), v.alias("v")).distinct())
+    while not _are_stars(e):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         down = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small = down.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        before, old = sign, path
-        e, path, sign = _written(small)
+        old = path
+        e, path = _written(down.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
         drop(e.sparkSession, old)
-        if sign == before:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -171,7 +171,7 @@ def survivors(docs: DataFrame, digest_bytes: int = 32) -> DataFrame:
 
     small_batches(docs.sparkSession)
     marked = docs.mapInArrow(add, StructType([*docs.schema.fields, StructField(sha, StringType())]))
-    out = marked.join(keep, marked["doc_id"].cast("long").eqNullSafe(keep["doc_id"]) & (marked[sha] == keep["text_sha256"]), "left_semi")
+    out = marked.join(keep.hint("merge"), marked["doc_id"].cast("long").eqNullSafe(keep["doc_id"]) & (marked[sha] == keep["text_sha256"]), "left_semi")
     if not repeated.isEmpty():
         out = out.dropDuplicates(["doc_id", sha])
     return out.drop(sha)

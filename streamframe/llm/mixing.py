@@ -184,7 +184,7 @@ def mixed(docs: DataFrame, seed: int = 0) -> DataFrame:
     key, copies, rows, place, same, n, copy = (fresh(docs.columns, x) for x in ("_id", "_copies", "_rows", "_place", "_same", "_n", "_copy"))
     by = mix(docs, seed).filter("copies > 0").groupBy(F.col("doc_id").alias(key)).agg(F.sum("copies").alias(copies), F.count("*").alias(rows))
     by = materialize(by, "copies")
-    out = docs.join(by, docs["doc_id"].cast("long").eqNullSafe(by[key]))
+    out = docs.join(by.hint("merge"), docs["doc_id"].cast("long").eqNullSafe(by[key]))  # as many as documents: never broadcast, at any size
     if by.filter(F.col(rows) > 1).isEmpty():
         taken = F.col(copies)
     else:

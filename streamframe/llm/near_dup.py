@@ -294,5 +294,5 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLER
 
 def survivors(docs: DataFrame) -> DataFrame:
     """The documents that stay, all columns as they came: one of each group."""
-    keep = materialize(join(docs).filter("kept").select(F.col("doc_id").alias("_id")), "near-kept")
+    keep = materialize(join(docs).filter("kept").select(F.col("doc_id").alias("_id")), "near-kept").hint("merge")  # as many as documents: never broadcast, at any size
     return docs.join(keep, docs["doc_id"].cast("long").eqNullSafe(keep["_id"]), "left_semi")

@@ -223,11 +223,12 @@ def score(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, k: int =
         for b in batches:
             scores, evidence = [], []
             for t, c in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                key = (tuple(t), tuple(c))
+                at, w = weigh(t, c, idf)
+                key = (at.tobytes(), np.round(w, 9).tobytes())  # texts with no term but the common one are all one vector
                 if key not in same:
                     if len(same) > 50_000:
                         same.clear()
-                    near, cosine = index.nearest(*weigh(t, c, idf), k)
+                    near, cosine = index.nearest(at, w, k)
                     s = calibrated(index.vote(near, cosine), fit) if len(index.labels) else 0.0
                     if not len(near):
                         s = index.rate

@@ -224,7 +224,8 @@ def score(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, k: int =
             scores, evidence = [], []
             for t, c in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
                 at, w = weigh(t, c, idf)
-                key = (at.tobytes(), np.round(w, 9).tobytes())  # texts with no term but the common one are all one vector
+                w = np.round(w, 9)
+                key = (at.tobytes(), w.tobytes())  # texts with no term but the common one are all one vector
                 if key not in same:
                     if len(same) > 50_000:
                         same.clear()

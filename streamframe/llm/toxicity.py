@@ -153,25 +153,37 @@ class BlockMaxIndex:
         if not len(t) or not self.blocks:
             return np.zeros(0, np.int64), np.zeros(0)
         bounds = w @ self.bound[t]
-        best_w, best_i = np.zeros(0), np.zeros(0, np.int64)
-        for b in np.argsort(-bounds, kind="stable"):
-            if bounds[b] <= 0 or len(best_w) == k and bounds[b] < best_w[-1] - 1e-12:
-                break
-            base = b * self.block
-            if len(best_w) == k and np.round(bounds[b], 12) <= best_w[-1] and base > best_i[-1]:
-                continue  # at best ties with the last one held, which stands before them
-            score = np.zeros(min(self.block, len(self.ids) - base))
-            for x, q in zip(t.tolist(), w.tolist()):
-                s, e = self.start[x, b], self.start[x, b + 1]
+        first = int(np.argmax(bounds))
+        best_i, best_w = self._best(np.array([first]), t, w, k, but)
+        # what is held bounds the blocks that are still worth reading; ties go to the smaller position
+        least = best_w[-1] - 1e-12 if len(best_w) == k else 0.0
+        rest = np.flatnonzero(bounds >= least) if least > 0 else np.flatnonzero(bounds > 0)
+        rest = rest[rest != first]
+        if len(best_w) == k:
+            rest = rest[(np.round(bounds[rest], 12) > best_w[-1]) | (rest * self.block < best_i[-1])]
+        if not len(rest):
+            return best_i, best_w
+        return self._best(np.append(rest, first), t, w, k, but)
+
+    def _best(self, blocks: np.ndarray, t: np.ndarray, w: np.ndarray, k: int, but: int) -> tuple[np.ndarray, np.ndarray]:
+        """The k nearest examples within some blocks: each term's postings there, added up."""
+        score = np.zeros(self.blocks * self.block)
+        few = 8 * len(blocks) < self.blocks
+        for x, q in zip(t.tolist(), w.tolist()):
+            row = self.start[x]
+            for s, e in zip(row[blocks].tolist(), row[blocks + 1].tolist()) if few else ((row[0], row[-1]),):
                 if e > s:
-                    score[self.who[s:e] - base] += q * self.weight[s:e]  # a term has an example once
-            if 0 <= but - base < len(score):
-                score[but - base] = 0
-            i = np.flatnonzero(score > 0)
-            all_w, all_i = np.concatenate([best_w, np.round(score[i], 12)]), np.concatenate([best_i, i + base])
-            order = np.lexsort((all_i, -all_w))[:k]
-            best_w, best_i = all_w[order], all_i[order]
-        return best_i, best_w
+                    score[self.who[s:e]] += q * self.weight[s:e]  # a term has an example once
+        if but >= 0:
+            score[but] = 0
+        i = (np.sort(blocks)[:, None] * self.block + np.arange(self.block)).ravel()
+        found = np.round(score[i], 12)
+        i, found = i[found > 0], found[found > 0]
+        if len(i) > 4 * k:
+            cut = np.partition(found, len(found) - k)[len(found) - k]
+            i, found = i[found >= cut], found[found >= cut]
+        order = np.lexsort((i, -found))[:k]
+        return i[order], found[order]
 
     def vote(self, near: np.ndarray, cosine: np.ndarray) -> float:
         """The share of label 1, weighed by closeness; the base rate counts as one vote of weight 0.1."""

@@ -16,7 +16,6 @@ its own; extra columns are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 from html import unescape
 
@@ -45,6 +44,7 @@ ROLES = frozenset("navigation banner contentinfo complementary search form menu
 
 _NAME = re.compile(r"/?([a-zA-Z][^\s/>]*)")
 _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_OPENING = re.compile(r"""=\s*["']""")
 _TOKEN = re.compile(r"[a-z]+")
 #: Classes that say what an element has beside it, not what it is.
 _ABSENT = ("no-", "has-", "with-", "without-", "hide-", "not-")
@@ -52,23 +52,19 @@ _HIDDEN = re.compile(r"""\bhidden\b(?!\s*=\s*["']?until)|aria-hidden\s*=\s*["']?
 
 
 def _tag_end(html: str, at: int) -> int:
-    """Where the tag that begins at ``at`` ends: its >, outside of quotes."""
-    quote = ""
+    """Where the tag that begins at ``at`` ends: its >, outside of quotes. A quote that never ends is none."""
     end = html.find(">", at)
     if end < 0:
         return len(html)
-    inside = html[at:end]
-    if '"' not in inside and "'" not in inside:
-        return end
-    for i in range(at, min(len(html), at + 65536)):
-        c = html[i]
-        if quote:
-            quote = "" if c == quote else quote
-        elif c in "\"'" and html[i - 1] in "= \t\n":
-            quote = c
-        elif c == ">":
-            return i
-    return end
+    while True:
+        m = _OPENING.search(html, at, end)
+        if not m:
+            return end
+        at = html.find(m[0][-1], m.end()) + 1
+        after = html.find(">", at) if at > end else end
+        if not at or after < 0:
+            return end
+        end = after
 
 
 def _is_boilerplate(tag: str) -> bool:
@@ -85,10 +81,10 @@ def _is_boilerplate(tag: str) -> bool:
 
 
 class _Blocks:
-    """The blocks of a page: text, characters in links, and the chain of containers around it."""
+    """The blocks of a page: text, characters in links, and the innermost container around it (0: none)."""
 
     def __init__(self) -> None:
-        self.out: list[tuple[str, int, tuple[int, ...]]] = []
+        self.out: list[tuple[str, int, int]] = []
         self.text: list[str] = []
         self.links = 0
 
@@ -97,19 +93,19 @@ class _Blocks:
             self.text.append(raw)
             self.links += len(raw) if in_link else 0
 
-    def close(self, chain: tuple[int, ...]) -> None:
+    def close(self, inside: int) -> None:
         if self.text:
             text = " ".join(unescape("".join(self.text)).split())
             if text:
-                self.out.append((text, self.links, chain))
+                self.out.append((text, self.links, inside))
             self.text, self.links = [], 0
 
 
-def blocks(html: str) -> tuple[list[tuple[str, int, tuple[int, ...]]], dict[int, str]]:
-    """Blocks in page order, and the names of their containers."""
-    page, names = _Blocks(), {}
+def blocks(html: str) -> tuple[list[tuple[str, int, int]], list[str], list[int]]:
+    """Blocks in page order, and each container's name and the container around it (0: the page, around all)."""
+    page, names, parents = _Blocks(), [""], [0]
     stack: list[tuple[str, int]] = []  # open containers: name, number
-    chain: tuple[int, ...] = ()
+    inside = 0
     skip, depth, link, at, n = "", 0, 0, 0, len(html)
     while at < n:
         lt = html.find("<", at)
@@ -143,7 +139,7 @@ def blocks(html: str) -> tuple[list[tuple[str, int, tuple[int, ...]]], dict[int,
                     skip = ""
             continue
         if name in BLOCKS:
-            page.close(chain)
+            page.close(inside)
         elif name == "br":
             page.add(" ", False)
         if closing:
@@ -153,7 +149,7 @@ def blocks(html: str) -> tuple[list[tuple[str, int, tuple[int, ...]]], dict[int,
                 for k in range(len(stack) - 1, -1, -1):
                     if stack[k][0] == name:
                         del stack[k:]
-                        chain = tuple(x for _, x in stack)
+                        inside = stack[-1][1] if stack else 0
                         break
             continue
         if name in VOID or tag.endswith("/"):
@@ -168,12 +164,12 @@ def blocks(html: str) -> tuple[list[tuple[str, int, tuple[int, ...]]], dict[int,
         elif name == "a":
             link += 1
         elif name in CONTAINERS:
-            number = len(names) + 1
-            names[number] = name
-            stack.append((name, number))
-            chain = (*chain, number) if len(chain) < 64 else chain
-    page.close(chain)
-    return page.out, names
+            parents.append(inside)
+            inside = len(names)
+            names.append(name)
+            stack.append((name, inside))
+    page.close(inside)
+    return page.out, names, parents
 
 
 def regions(lengths: list[int], window: int = WINDOW, surge: int = SURGE) -> list[tuple[int, int]]:
@@ -192,28 +188,28 @@ def regions(lengths: list[int], window: int = WINDOW, surge: int = SURGE) -> lis
 
 
 def main_blocks(html: str | None) -> list[str]:
-    lines, names = blocks(html or "")
+    lines, names, parents = blocks(html or "")
     if not lines:
         return []
     lengths = [max(0, len(t) - 2 * k) for t, k, _ in lines]
     found = regions(lengths) or [(0, len(lines))]
     low, high = max(found, key=lambda r: (sum(lengths[r[0] : r[1]]), -r[0]))
-    within: dict[int, int] = defaultdict(int)
+    within = [0] * len(names)
     for i in range(low, high):
-        for c in lines[i][2]:
-            within[c] += lengths[i] + 1
-    total, best = sum(within.values()) and sum(lengths[low:high]) + high - low, 0
+        within[lines[i][2]] += lengths[i] + 1
     # containers have larger numbers than those around them
-    for c in sorted(within, reverse=True):
-        if names[c] in ("article", "main") and 2 * within[c] > total:
-            best = c
-            break
+    inward = range(len(names) - 1, 0, -1)
+    for c in inward:
+        within[parents[c]] += within[c]
+    total = within[0]
+    best = next((c for c in inward if names[c] in ("article", "main") and 2 * within[c] > total), 0)
+    best = best or next((c for c in inward if 10 * within[c] > 9 * total), 0)
     if not best:
-        for c in sorted(within, reverse=True):
-            if 10 * within[c] > 9 * total:
-                best = c
-                break
-    return [t for t, _, chain in lines if best in chain] if best else [t for t, _, _ in lines[low:high]]
+        return [t for t, _, _ in lines[low:high]]
+    held = [False] * len(names)
+    for c in range(best, len(names)):
+        held[c] = c == best or held[parents[c]]
+    return [t for t, _, c in lines if held[c]]
 
 
 def main_text(html: str | None) -> str:

@@ -126,6 +126,17 @@ def test_main_text():
     assert html_text.regions([0, 100, 0, 0, 0, 0, 90, 90], 3, 40) == [(1, 2), (6, 8)]
 
 
+def test_deep_pages_and_long_tags_are_read_whole():
+    first, later = "The beginning of the article, which is long enough.", "What follows is much longer and fills the region. " * 9
+    for deep in (10, 70, 5000):
+        page = "<body>" + "<div>" * deep + f"<article><p>{first}<div><p>{later}</div><p>{later}</article>" + "</div>" * deep
+        assert html_text.main_text(page).startswith(first)
+    held = "x>" * 50_000
+    assert html_text.main_text(f"<body><div data-state='{held}'><p>kept</p></div>") == "kept"
+    assert html_text.main_text("<p title='a>b' id=c>kept</p>") == "kept" and html_text.main_text("<p title='a>kept") == "kept"
+    assert len(html_text.main_text('<a b="' * 50_000 + "<p>text" * 50_000)) >= 0
+
+
 def test_pages_on_odd_rows(spark):
     rows = [(1, "u", PAGE), (1, "u", PAGE), (2, None, None), (None, "v", "<p>x")]
     got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()

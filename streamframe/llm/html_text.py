@@ -8,15 +8,17 @@ division that holds most of it), and all that container's blocks are kept: its s
 first and last lines lie outside the region, other containers' lines do not belong.
 
 Defined results: null or empty html, and pages without text, give an empty text.
-Unclosed and crossed tags are read as they come; an unclosed comment or script runs to
-the end of the page. Reading is linear in the page's length. Repeated rows are read each on
+Crossed tags are read as they come. End tags that HTML lets be left out are implied by
+the next item, cell or block, and an element ends with those around it; an unclosed
+comment or script runs to the end of the page. Reading is linear in the page's length. Repeated rows are read each on
 its own; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Iterable, Iterator
 from html import unescape
 
 import pyarrow as pa
@@ -42,6 +44,20 @@ BOILERPLATE = frozenset(
 )
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert".split())
 
+#: Elements that may lack their end tag: what begins there ends them, up to the nearest wall.
+CELLS = ("td", "th")
+SECTIONS = ("caption", "colgroup", "tbody", "thead", "tfoot", "tr", *CELLS)
+ENDS = {
+    **dict.fromkeys(CELLS, CELLS), "tr": ("tr", *CELLS), **dict.fromkeys(("tbody", "thead", "tfoot"), SECTIONS),
+    "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("option",), "optgroup": ("option", "optgroup"),
+}
+ENDS_P = frozenset("address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main menu nav ol p pre section summary table ul".split())
+TABLE_WALLS = ("table", "caption", *CELLS)
+P_WALLS = (*TABLE_WALLS, "button", "object")
+ITEM_WALLS = (*P_WALLS, *"article aside blockquote body center details dialog dl fieldset figure footer form header main menu nav ol pre section select ul".split())
+IN_HEAD = frozenset("base basefont bgsound head html link meta noscript script style template title".split())
+LOOSE = frozenset("p li dt dd option optgroup".split())
+
 _NAME = re.compile(r"/?([a-zA-Z][^\s/>]*)")
 _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _OPENING = re.compile(r"""=\s*["']""")
@@ -101,18 +117,81 @@ class _Blocks:
             self.text, self.links = [], 0
 
 
+class _Open:
+    """The open elements, innermost last, with the places of each name."""
+
+    def __init__(self) -> None:
+        self.names: list[str] = []
+        self.outer: list[int] = []
+        self.at: dict[str, list[int]] = defaultdict(list)
+        self.walls: list[int] = []  # places of block elements that only their own or an outer end tag ends
+
+    def last(self, names: Iterable[str]) -> int:
+        return max((self.at[x][-1] for x in names if self.at[x]), default=-1)
+
+    def push(self, name: str, outer: int) -> None:
+        if name in DROPPED or name in BLOCKS and name not in LOOSE:
+            self.walls.append(len(self.names))
+        self.at[name].append(len(self.names))
+        self.names.append(name)
+        self.outer.append(outer)
+
+    def cut(self, k: int) -> int:
+        """Close all from place ``k``; the container around them."""
+        outer = self.outer[k]
+        while len(self.names) > k:
+            self.at[self.names.pop()].pop()
+        del self.outer[k:]
+        while self.walls and self.walls[-1] >= k:
+            self.walls.pop()
+        return outer
+
+    def ended_by_start(self, name: str) -> int:
+        """The place from which a start tag closes elements, or -1."""
+        found = []
+        if self.at["head"] and name not in IN_HEAD:
+            found.append(self.at["head"][-1])
+        if name in ENDS_P and self.at["p"] and self.at["p"][-1] > self.last(P_WALLS):
+            found.append(self.at["p"][-1])
+        if name in ENDS:
+            wall = self.last(ITEM_WALLS if name in ("li", "dt", "dd") else ("select",) if name.startswith("opt") else ("table",))
+            found += [self.at[x][-1] for x in ENDS[name] if self.at[x] and self.at[x][-1] > wall]
+        return min(found, default=-1)
+
+    def ended_by_end(self, name: str, tables_end: bool, dropped: int) -> int:
+        """The place from which an end tag closes elements, or -1."""
+        k = self.at[name][-1] if self.at[name] else -1
+        if k < 0 or k == dropped or name == "table":
+            return k
+        if name in SECTIONS:
+            wall = self.last(("table",))
+        elif name == "p":
+            wall = self.last(P_WALLS)
+        elif name == "li":
+            wall = self.last(("ul", "ol", *TABLE_WALLS))
+        elif name in DROPPED or name in BLOCKS:
+            wall = self.last(TABLE_WALLS) if tables_end else -1
+        else:
+            wall = self.walls[-1] if self.walls else -1
+        return k if k > wall else -1
+
+
 def blocks(html: str) -> tuple[list[tuple[str, int, int]], list[str], list[int]]:
     """Blocks in page order, and each container's name and the container around it (0: the page, around all)."""
     page, names, parents = _Blocks(), [""], [0]
-    stack: list[tuple[str, int]] = []  # open containers: name, number
-    inside = 0
-    skip, depth, link, at, n = "", 0, 0, 0, len(html)
+    stack, inside = _Open(), 0
+    dropped = -1  # the place of the outermost open element that is no main text
+    link, at, n = 0, 0, len(html)
+    last_table = max(html.rfind("</table"), html.rfind("</TABLE"))
     while at < n:
         lt = html.find("<", at)
         if lt < 0:
             lt = n
-        if not skip and lt > at:
-            page.add(html[at:lt], link > 0)
+        if lt > at:
+            if dropped >= 0 and stack.names[-1] == "head" and html[at:lt].strip():
+                inside, dropped = stack.cut(len(stack.names) - 1), -1
+            if dropped < 0:
+                page.add(html[at:lt], link > 0)
         if lt >= n:
             break
         if html.startswith("<!--", lt):
@@ -125,49 +204,48 @@ def blocks(html: str) -> tuple[list[tuple[str, int, int]], list[str], list[int]]
             continue
         m = _NAME.match(html, lt + 1)
         if not m:
-            if not skip:
+            if dropped < 0:
                 page.add("<", link > 0)
             at = lt + 1
             continue
         end = _tag_end(html, lt + 1)
         tag, name, closing = html[lt + 1 : end], m[1].lower(), html[lt + 1] == "/"
         at = end + 1
-        if skip:
-            if name == skip and name not in VOID:
-                depth += -1 if closing else 0 if tag.endswith("/") else 1
-                if depth <= 0:
-                    skip = ""
-            continue
-        if name in BLOCKS:
-            page.close(inside)
-        elif name == "br":
-            page.add(" ", False)
+        around, was_dropped = inside, dropped >= 0
+        k = stack.ended_by_end(name, lt < last_table, dropped) if closing else stack.ended_by_start(name)
+        if k >= 0:
+            outer = stack.cut(k)
+            if dropped < 0 or k <= dropped:
+                inside, dropped = outer, -1
+        if dropped < 0:
+            if name in BLOCKS:
+                page.close(around)
+            elif name == "br":
+                page.add(" ", False)
         if closing:
-            if name == "a":
+            if name == "a" and not was_dropped:
                 link = max(0, link - 1)
-            elif name in CONTAINERS:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == name:
-                        del stack[k:]
-                        inside = stack[-1][1] if stack else 0
-                        break
             continue
         if name in VOID or tag.endswith("/"):
             continue
-        if name in DROPPED or name not in ("html", "body") and _is_boilerplate(tag):
-            if name in RAW:
-                close = re.compile(rf"</{re.escape(name)}\b", re.I).search(html, at)
-                end = html.find(">", close.start()) if close else -1
+        if name in RAW:
+            close = re.compile(rf"</{re.escape(name)}\b", re.I).search(html, at)
+            end = html.find(">", close.start()) if close else -1
+            if end >= 0 or name not in ("noscript", "template"):
                 at = n if end < 0 else end + 1
-            else:
-                skip, depth = name, 1
+                continue
+        place = len(stack.names)
+        stack.push(name, inside)
+        if dropped >= 0:
+            continue
+        if name in DROPPED or name not in ("html", "body") and _is_boilerplate(tag):
+            dropped = place
         elif name == "a":
             link += 1
         elif name in CONTAINERS:
             parents.append(inside)
             inside = len(names)
             names.append(name)
-            stack.append((name, inside))
     page.close(inside)
     return page.out, names, parents
 

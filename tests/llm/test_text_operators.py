@@ -137,6 +137,27 @@ def test_deep_pages_and_long_tags_are_read_whole():
     assert len(html_text.main_text('<a b="' * 50_000 + "<p>text" * 50_000)) >= 0
 
 
+def test_dropped_elements_end_where_their_end_is_implied():
+    kept = "This is the paragraph that has to be kept, whatever went before."
+    for page in (
+        f"<div><p class=notice>Gone<p>{kept}</p><p>{kept}</p></div>",
+        f"<div><p class=notice>Gone<div>{kept}</div></div><p>{kept}",
+        f"<ul><li class=share>Gone<li>{kept}</ul><p>{kept}</p>",
+        f"<div><ul><li>{kept}<li class=share>Gone</ul><p>{kept}</p></div>",
+        f"<table><tr><td class=ad>Gone<td>{kept}<tr><td>{kept}</table>",
+        f"<table><tr><td>{kept}<tr><td class=ad>Gone</table>{kept}",
+        f"<dl><dt class=ad>Gone<dd>{kept}</dl><p>{kept}",
+        f"<main><div><aside>Gone</div><p>{kept}</p><p>{kept}</p></main>",
+        f"<body><div><table class=sidebar><tr><td>Gone</div><p>{kept}</p><p>{kept}</p>",
+        f"<html><head><title>Gone</title><body><p>{kept}<p>{kept}",
+        f"<div><p>{kept} <span class=ad>Gone</p><p>{kept}</p></div>",
+        f"<div><nav><script>x = '</nav>'</script>Gone</nav><p>{kept}<p>{kept}</div>",
+        f"<div><select><option>Gone<option>Gone</select><p>{kept}<p>{kept}</div>",
+        f"<div class=ad>Gone<div>Gone</div><p>Gone<ul><li>Gone</ul>Gone</div><p>{kept}<p>{kept}",
+    ):
+        assert html_text.main_text(page).split("\n\n") == [kept] * 2, page
+
+
 def test_pages_on_odd_rows(spark):
     rows = [(1, "u", PAGE), (1, "u", PAGE), (2, None, None), (None, "v", "<p>x")]
     got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()

@@ -59,12 +59,14 @@ IN_HEAD = frozenset("base basefont bgsound head html link meta noscript script s
 LOOSE = frozenset("p li dt dd option optgroup".split())
 
 _NAME = re.compile(r"/?([a-zA-Z][^\s/>]*)")
-_ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_OPENING = re.compile(r"""=\s*["']""")
-_TOKEN = re.compile(r"[a-z]+")
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+#: A tag without any of these is no boilerplate by its attributes.
+_TELLING = re.compile("class|id|role|hidden|style", re.I)
 #: Classes that say what an element has beside it, not what it is.
 _ABSENT = ("no-", "has-", "with-", "without-", "hide-", "not-")
-_HIDDEN = re.compile(r"""\bhidden\b(?!\s*=\s*["']?until)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
+_NO_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
+_OPENING = re.compile(r"""=\s*["']""")
+_TOKEN = re.compile(r"[a-z]+")
 
 
 def _tag_end(html: str, at: int) -> int:
@@ -83,38 +85,72 @@ def _tag_end(html: str, at: int) -> int:
         end = after
 
 
-def _is_boilerplate(tag: str) -> bool:
-    if "=" not in tag and "hidden" not in tag:
-        return False
-    for m in _ATTRIBUTE.finditer(tag):
-        value = m[2] or m[3] or m[4] or ""
-        if m[1].lower() == "role":
-            if value.strip().lower() in ROLES:
-                return True
-        elif any(w in BOILERPLATE for x in value.lower().split() if not x.startswith(_ABSENT) for w in _TOKEN.findall(x)):
-            return True
-    return _HIDDEN.search(tag) is not None
+def _boilerplate(name: str, tag: str) -> int:
+    """By its attributes an element is 3 no main text, 2 none by all its class or identifier, 1 by a part of them, 0 neither."""
+    if not _TELLING.search(tag):
+        return 0
+    named = 0
+    for m in _ATTRIBUTE.finditer(tag, len(name)):
+        key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").strip().lower()
+        if (
+            key == "hidden" and value != "until-found"
+            or key == "aria-hidden" and value == "true"
+            or key == "style" and _NO_DISPLAY.search(value)
+            or key == "role" and value in ROLES
+        ):
+            return 3
+        if key in ("class", "id") and any(w in BOILERPLATE for x in value.split() if not x.startswith(_ABSENT) for w in _TOKEN.findall(x)):
+            named = max(named, 1 + (value in BOILERPLATE))
+    return named if name not in ("article", "main") else 0
 
 
 class _Blocks:
-    """The blocks of a page: text, characters in links, and the innermost container around it (0: none)."""
+    """The blocks of a page: pieces of text (whether in a link, innermost named element), and the innermost container around each (0: none)."""
 
     def __init__(self) -> None:
-        self.out: list[tuple[str, int, int]] = []
-        self.text: list[str] = []
-        self.links = 0
+        self.out: list[tuple[list[tuple[str, bool, int]], int]] = []
+        self.text: list[tuple[str, bool, int]] = []
 
-    def add(self, raw: str, in_link: bool) -> None:
+    def add(self, raw: str, in_link: bool, inside: int) -> None:
         if raw:
-            self.text.append(raw)
-            self.links += len(raw) if in_link else 0
+            self.text.append((raw, in_link, inside))
 
     def close(self, inside: int) -> None:
         if self.text:
-            text = " ".join(unescape("".join(self.text)).split())
+            self.out.append((self.text, inside))
+            self.text = []
+
+    def left(self, suspects: dict[int, int], names: list[str], parents: list[int]) -> list[tuple[str, int, int]]:
+        """Text, characters in links and container of each block, without the elements that their names tell apart.
+
+        Such an element stays if it holds most of the page's text outside of links. One that is
+        named by a single word, as in class="ad", gives way to an article or main element's text.
+        """
+        gone = [False] * len(parents)
+        if suspects:
+            held = [0] * len(parents)
+            for pieces, _ in self.out:
+                for raw, in_link, c in pieces:
+                    held[c] += 0 if in_link else sum(map(len, raw.split()))
+            main, open_main, around = False, [False] * len(parents), [False] * len(parents)
+            for c in range(1, len(parents)):
+                open_main[c] = suspects.get(c) != 2 and (open_main[parents[c]] or names[c] in ("article", "main") and not around[parents[c]])
+                around[c] = around[parents[c]] or suspects.get(c) == 2
+                main |= open_main[c] and held[c] > 0
+            has_main = [x in ("article", "main") for x in names]
+            for c in range(len(parents) - 1, 0, -1):
+                held[parents[c]] += held[c]
+                has_main[parents[c]] |= has_main[c]
+            for c in range(1, len(parents)):
+                few = 2 * held[c] <= held[0] or suspects.get(c) == 2 and main and not has_main[c]
+                gone[c] = gone[parents[c]] or c in suspects and few
+        out = []
+        for pieces, inside in self.out:
+            own = [(raw, in_link) for raw, in_link, c in pieces if not gone[c]]
+            text = " ".join(unescape("".join(raw for raw, _ in own)).split())
             if text:
-                self.out.append((text, self.links, inside))
-            self.text, self.links = [], 0
+                out.append((text, sum(len(raw) for raw, in_link in own if in_link), inside))
+        return out
 
 
 class _Open:
@@ -179,6 +215,7 @@ class _Open:
 def blocks(html: str) -> tuple[list[tuple[str, int, int]], list[str], list[int]]:
     """Blocks in page order, and each container's name and the container around it (0: the page, around all)."""
     page, names, parents = _Blocks(), [""], [0]
+    suspects: dict[int, int] = {}  # elements whose class or identifier is boilerplate
     stack, inside = _Open(), 0
     dropped = -1  # the place of the outermost open element that is no main text
     link, at, n = 0, 0, len(html)
@@ -191,7 +228,7 @@ def blocks(html: str) -> tuple[list[tuple[str, int, int]], list[str], list[int]]
             if dropped >= 0 and stack.names[-1] == "head" and html[at:lt].strip():
                 inside, dropped = stack.cut(len(stack.names) - 1), -1
             if dropped < 0:
-                page.add(html[at:lt], link > 0)
+                page.add(html[at:lt], link > 0, inside)
         if lt >= n:
             break
         if html.startswith("<!--", lt):
@@ -205,7 +242,7 @@ def blocks(html: str) -> tuple[list[tuple[str, int, int]], list[str], list[int]]
         m = _NAME.match(html, lt + 1)
         if not m:
             if dropped < 0:
-                page.add("<", link > 0)
+                page.add("<", link > 0, inside)
             at = lt + 1
             continue
         end = _tag_end(html, lt + 1)
@@ -221,7 +258,7 @@ def blocks(html: str) -> tuple[list[tuple[str, int, int]], list[str], list[int]]
             if name in BLOCKS:
                 page.close(around)
             elif name == "br":
-                page.add(" ", False)
+                page.add(" ", False, inside)
         if closing:
             if name == "a" and not was_dropped:
                 link = max(0, link - 1)
@@ -238,16 +275,20 @@ def blocks(html: str) -> tuple[list[tuple[str, int, int]], list[str], list[int]]
         stack.push(name, inside)
         if dropped >= 0:
             continue
-        if name in DROPPED or name not in ("html", "body") and _is_boilerplate(tag):
+        kind = 3 if name in DROPPED else 0 if name in ("html", "body") else _boilerplate(name, tag)
+        if kind == 3:
             dropped = place
-        elif name == "a":
+            continue
+        if name == "a":
             link += 1
-        elif name in CONTAINERS:
+        if kind or name in CONTAINERS:
             parents.append(inside)
             inside = len(names)
             names.append(name)
+            if kind:
+                suspects[inside] = kind
     page.close(inside)
-    return page.out, names, parents
+    return page.left(suspects, names, parents), names, parents
 
 
 def regions(lengths: list[int], window: int = WINDOW, surge: int = SURGE) -> list[tuple[int, int]]:

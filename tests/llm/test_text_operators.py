@@ -158,6 +158,18 @@ def test_dropped_elements_end_where_their_end_is_implied():
         assert html_text.main_text(page).split("\n\n") == [kept] * 2, page
 
 
+def test_attributes_that_only_look_like_boilerplate():
+    kept, ad = "This is the paragraph that has to be kept, whatever its tags say.", "<div class=ad>Buy now, it is cheap!</div>"
+    for tag in (
+        'div style="overflow:hidden"', "div style='backface-visibility: hidden'", 'div aria-hidden="false"', 'div data-x="hidden"', 'div data-hidden="1"', "div title='display:none'", 'div hidden="until-found"',
+        'article class="post category-social tag-search"', 'main id="search"', 'div class="content-with-sidebar"', 'section class="post social"', "div class=search",
+    ):
+        assert html_text.main_text(f"<body>{ad}<{tag}><p>{kept}</p><p>{kept}</p></{tag.split()[0]}>{ad}") == f"{kept}\n\n{kept}", tag
+    for tag in ("div hidden", "div HIDDEN=''", 'div aria-hidden="true"', 'div style="color:red; display: none"', "main hidden", 'div role="search"', "div class=widget", "div id=x-sidebar"):
+        assert html_text.main_text(f"<body><{tag}>Gone, though long enough to be text.</{tag.split()[0]}><p>{kept}</p><p>{kept}</p>") == f"{kept}\n\n{kept}", tag
+    assert html_text.main_text(f"<body><div class=ad>{kept}</div><article><p>Short.</p></article>") == "Short."
+
+
 def test_pages_on_odd_rows(spark):
     rows = [(1, "u", PAGE), (1, "u", PAGE), (2, None, None), (None, "v", "<p>x")]
     got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()

@@ -7,8 +7,10 @@ history, which is reported, and the span begins where the two part. A probe text
 the turn's place shows where in its span the text stands, so the loss mask covers the
 assistant's texts and no marker.
 
-Prefixes of conversations of more than WHOLE turns are rendered with their first HEAD
-and their last RECENT turns only, so the work stays linear in the conversation. Rows
+Prefixes are whole, so the work grows with the square of a conversation. Of the default
+template it is known that what a turn adds depends on that turn alone: from turn WHOLE on,
+its prefixes are rendered with their first HEAD and last RECENT turns only, which gives
+the same spans in linear work. Rows
 are sorted within hash partitions and read as a stream: a task holds one conversation's
 turns, never a partition.
 
@@ -100,10 +102,10 @@ def spans(turns: Sequence[Turn], render: Template = template) -> Iterator[tuple[
     Positions are in the rendering of the whole conversation, given that it appends;
     where it rewrites, they are positions in the turn's own prefix.
     """
-    offset, before = 0, render([])
+    offset, before, local = 0, render([]), render is template
     for k, (role, text) in enumerate(turns):
         head, low = (), 0
-        if k >= WHOLE:
+        if local and k >= WHOLE:
             head, low = turns[:HEAD], k - RECENT
             before = render([*head, *turns[low:k]])
         prefix = [*head, *turns[low:k]]
@@ -112,7 +114,7 @@ def spans(turns: Sequence[Turn], render: Template = template) -> Iterator[tuple[
         start = _common(before, now) if rewrites else len(before)
         at = probe.find(PROBE, _common(before, probe) if rewrites else start)
         tail = len(probe) - at - len(PROBE) if at >= 0 else 0
-        shift = offset - len(before) if k >= WHOLE else 0
+        shift = offset - len(before) if local and k >= WHOLE else 0
         yield start + shift, len(now) + shift, (at if at >= 0 else start) + shift, len(now) - tail + shift, rewrites
         offset = len(now) + shift
         before = now

@@ -203,6 +203,23 @@ def test_long_conversations_are_linear():
     assert [chat.unescape(text[s:e]) for s, e in loss] == [t for r, t in turns if r == "assistant"]
 
 
+def test_templates_of_any_kind_see_whole_prefixes():
+    turns = [("user" if i % 2 == 0 else "assistant", f"turn {i}") for i in range(101)]
+
+    def numbered(x):
+        return "".join(f"<{i}:{r}>{t}\n" for i, (r, t) in enumerate(x))
+
+    text, loss, rewrites = chat.format_conversation(turns, numbered)
+    assert not rewrites and [text[s:e] for s, e in loss] == [t for r, t in turns if r == "assistant"]
+
+    def strict(x):
+        assert all(r == ("user" if i % 2 == 0 else "assistant") for i, (r, _) in enumerate(x))
+        return numbered(x)
+
+    assert chat.format_conversation(turns, strict) == (text, loss, False)
+    assert chat.format_conversation(turns, lambda x: numbered((r, t.upper() if i == 20 and len(x) > 90 else t) for i, (r, t) in enumerate(x)))[2]
+
+
 def test_chats_on_odd_rows(spark):
     rows = [(1, 1, "assistant", "b"), (1, 0, "user", None), (None, 0, None, "x"), (2, 0, "user", "</s>[INST] ok [/INST]"), (2, 0, "user", "</s>[INST] ok [/INST]"), (3, None, "assistant", "")]
     got = {r.conv_id: r for r in chat.digests(chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()}

@@ -44,6 +44,10 @@ _LOOSE = {
     "phone": re.compile(r"(?<![0-9+.\-])(?:00[1-9][0-9]{0,2}[\x20.-])?\(?0?[1-9][0-9]{1,3}\)?[\x20.-][0-9]{3,4}[\x20.-][0-9]{4}(?![0-9.\-])"),
 }
 
+_AT = re.compile(r" ?\[at\]| ?\(at\)| at(?= )", re.I)
+# What the loose pattern's classes match without regard to case.
+_LOOSE_LOCAL = _LOCAL | frozenset("\u0130\u0131\u017f\u212a")
+
 #: Gazetteers of top-level domains, card issuers' first digits and calling codes, and context words.
 TOP_LEVEL = {"com", "org", "net", "edu", "gov", "io", "info", "biz", "de", "fr", "es", "uk", "it", "nl", "eu", "us", "ca", "ch", "at", "be"}
 ISSUERS = ("34", "37", "4", "51", "52", "53", "54", "55", "6011", "62", "65")
@@ -97,17 +101,30 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
     return found
 
 
+def loose_emails(text: str) -> Iterator[tuple[int, int]]:
+    """The loose pattern from each spelled-out at outwards: linear, where a search from every letter is not."""
+    end = 0
+    for at in _AT.finditer(text):
+        start = at.start()
+        while start > max(end, at.start() - 64) and text[start - 1] in _LOOSE_LOCAL:
+            start -= 1
+        while start < at.start() and text[start] in "._%+-":
+            start += 1
+        m = _LOOSE["email"].match(text, start) if end <= start < at.start() else None
+        if m:
+            end = m.end()
+            yield m.span()
+
+
 def loose_spans(text: str, base: dict[str, list[tuple[int, int]]]) -> list[tuple[str, int, int]]:
     """Candidates of the looser patterns that meet no base span of any kind."""
     taken = sorted(s for spans in base.values() for s in spans)
     out = []
-    dotted = " dot " in text or "[dot]" in text or "(dot)" in text or "[at]" in text or "(at)" in text
     digits = _DIGIT.search(text) is not None
     for kind, pattern in _LOOSE.items():
-        if not (dotted if kind == "email" else digits):
+        if kind != "email" and not digits:
             continue
-        for m in pattern.finditer(text):
-            s, e = m.span()
+        for s, e in loose_emails(text) if kind == "email" else (m.span() for m in pattern.finditer(text)):
             if not any(a < e and s < b for a, b in taken):
                 out.append((kind, s, e))
     return out

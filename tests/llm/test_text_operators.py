@@ -98,6 +98,17 @@ def test_pii_keeps_base_and_adds(spark):
     assert pii.detect(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+@given(st.lists(st.sampled_from(["a", "B9", ".", "-", "_", " ", "  ", " at ", "at", " AT ", "[at]", " [At] ", "(AT)", " dot ", "[DOT]", "(dot)", ".com", "\u017f", "\u0130", "é", "x" * 63]), max_size=14).map("".join))
+@settings(max_examples=1000, deadline=None)
+def test_loose_emails_equal_their_pattern(text):
+    assert list(pii.loose_emails(text)) == [m.span() for m in pii._LOOSE["email"].finditer(text)]
+
+
+@pytest.mark.parametrize("text", ["JANE [AT] EXAMPLE [DOT] COM", "Jane (At) Example (Dot) com", "jane at example.com", "jane AT example DOT com"])
+def test_spelled_out_emails_are_candidates_in_any_case(text):
+    assert pii.loose_spans(text, pii.base_spans(text)) == [("email", 0, len(text))]
+
+
 def test_reliabilities_tell_labelers_apart():
     rng = random.Random(3)
     counts = {}

@@ -6,7 +6,8 @@ then a local search that takes the emptiest underfull bin and moves documents ou
 it, exchanges one for one, one for two or two for one with other underfull bins
 whenever that raises the squared fill, until the bin is empty or nothing helps. Bins
 that stay far from full go, document by document, to the next level of a reduction
-tree, where fewer groups pack them again.
+tree, where fewer groups of the same size pack them again. Where a level leaves more than
+half of its pieces open, as long pieces do that no other fits beside, the next is the last.
 
 Null and empty texts hold their end mark only; texts of any length are cut. Repeated rows
 are packed each on its own; extra columns are ignored; an empty table has no sequences. Groups depend on identifiers and counts only, so reruns agree.
@@ -27,11 +28,12 @@ from .tokens import worker_tokenizer
 
 CAPACITY = 2048
 END = 0
-#: Pieces that one task packs together, and groups that meet in one group of the next level.
+#: Pieces that one task packs together, at every level.
 GROUP_ROWS = 8192
-FAN_IN = 64
 #: From this share of the capacity a bin is left as it is before the last level.
 CLOSED = 0.995
+#: Bits of a sequence's number that its place in its group takes.
+BIN_BITS = 28
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -122,8 +124,9 @@ class Bins:
         self.room[b] += gain
         return True
 
-    def search(self, tries: int = 20_000) -> None:
+    def search(self, tries: int = 0) -> None:
         """Empty the emptiest bins into the other underfull ones, while fewer bins are possible."""
+        tries = tries or max(20_000, 3 * len(self.size))
         least, open_bins = self.bound(), [b for b, r in enumerate(self.room) if r]
         open_bins.sort(key=lambda b: (-self.room[b], b))
         used = len(self.items)
@@ -161,35 +164,31 @@ def _pack_level(level: int, last: bool, capacity: int):
                 continue
             at = 0
             for i in members:
-                seq[i], off[i] = (level << 58) | (group << 16) | n, at
+                seq[i], off[i] = (level << 58) | (group << BIN_BITS) | n, at
                 at += size[i]
-        t = t.drop_columns(["salt"])
-        return t.append_column("salt", pa.array(np.full(len(size), group // FAN_IN, np.int64))).append_column("sequence_id", pa.array(seq)).append_column("offset", pa.array(off))
+        return t.drop_columns(["salt"]).append_column("sequence_id", pa.array(seq)).append_column("offset", pa.array(off))
 
     return pack
 
 
 def place(found: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP_ROWS) -> DataFrame:
     """Adds sequence_id and offset to materialised pieces."""
-    assert group_rows <= 1 << 16
     full = found.filter(F.col("length") == capacity)
     full = full.withColumns({"sequence_id": -1 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
-    short = found.filter(F.col("length") < capacity)
-    groups = max(1, -(-short.count() // group_rows))
-    salt = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)).cast("long")
-    todo, done, level = short.withColumn("salt", salt), full, 0
+    todo, done, level = found.filter(F.col("length") < capacity), full, 0
+    rows, last = todo.count(), False
     while True:
-        last = groups == 1
-        out = todo.groupBy("salt").applyInArrow(_pack_level(level, last, capacity), PIECES + ", salt long, sequence_id long, offset long")
+        groups = max(1, -(-rows // group_rows))
+        last = last or groups == 1
+        salt = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", *([F.lit(level)] if level else [])), F.lit(groups))
+        out = todo.withColumn("salt", salt.cast("long")).groupBy("salt").applyInArrow(_pack_level(level, last, capacity), PIECES + ", sequence_id long, offset long")
         out = materialize(out, f"packed-{level}")
-        done = done.unionByName(out.filter("sequence_id >= 0").drop("salt"))
+        done = done.unionByName(out.filter("sequence_id >= 0"))
         if last:
             return done
         todo = out.filter("sequence_id < 0").drop("sequence_id", "offset")
-        # the open bins are few: as many groups as their rows need, and fewer at each level
-        groups = min(-(-groups // FAN_IN), max(1, -(-todo.count() // group_rows)))
-        todo = todo.withColumn("salt", F.pmod(F.col("salt"), F.lit(groups)))
-        level += 1
+        left = todo.count()
+        rows, last, level = left, 2 * left > rows, level + 1
 
 
 def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFrame:

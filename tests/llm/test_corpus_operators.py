@@ -237,6 +237,19 @@ def test_chunked_tokens_equal_whole_ones():
         assert np.frombuffer(t.encode(s), "<u4").tolist() == t._plain(s)
 
 
+def task_sizes(spark):
+    from pyspark.accumulators import AccumulatorParam
+
+    class Lists(AccumulatorParam):
+        def zero(self, value):
+            return []
+
+        def addInPlace(self, a, b):
+            return a + b
+
+    return spark.sparkContext.accumulator([], Lists())
+
+
 def test_packing_places_every_token(spark):
     rng = random.Random(6)
     rows = [(i, words(rng, int(rng.lognormvariate(4, 1.2))), "s") for i in range(500)] + [(600, None, "s"), (601, "", None), (602, words(rng, 6000), "s"), (3, "same", "s"), (3, "same", "s"), (None, "x", "s")]
@@ -271,6 +284,27 @@ def test_packing_places_every_token(spark):
     assert sum(len(s.ids) // 4 for s in seqs) == total and max(len(s.ids) for s in seqs) <= 4 * 2048
 
 
+def test_groups_of_long_pieces_stay_bounded(spark, monkeypatch):
+    # a piece over half the capacity fills a bin alone, so that nothing closes before the last level
+    rows = [(i, 0, 0, 1100 + i % 900, i) for i in range(600)]
+    found = spark.createDataFrame(rows, packing.PIECES)
+    sizes, pack_level = task_sizes(spark), packing._pack_level
+
+    def counted(level, last, capacity):
+        pack = pack_level(level, last, capacity)
+
+        def run(key, t):
+            sizes.add([t.num_rows])
+            return pack(key, t)
+
+        return run
+
+    monkeypatch.setattr(packing, "_pack_level", counted)
+    placed = packing.place(found, group_rows=64).collect()
+    assert len(placed) == 600 == len({r.sequence_id for r in placed}) and {r.offset for r in placed} == {0}
+    assert max(sizes.value) < 2 * 64
+
+
 def test_local_search_empties_bins():
     # best fit decreasing leaves three bins of 10 here, and two suffice
     assert len(packing.pack_sizes([6, 4, 4, 3, 3], 10)) == 2

@@ -1,28 +1,34 @@
 """Toxicity from the nearest labelled examples.
 
-1. A bounded sample of labelled rows (LABELLED of them, by hash) gives the vocabulary:
-   words and word beginnings whose document frequency differs between the labels by a
-   chi-square test, at most VOCABULARY of them. Counting is distributed.
-2. One pass over all whole texts turns each into counts of these terms and of all other
-   words together; document frequencies are then counted over all documents.
-3. The sample's TF-IDF vectors form an inverted index in blocks of examples, with the
-   largest weight per term and block. For each document, blocks are read in the order
-   of their bounds until none can hold a nearer example than the K nearest found, so
-   the cosines and the K are exact.
+1. A bounded sample of labelled rows (LABELLED rows by hash, POSTINGS terms at most) are the
+   examples. All their words are terms, none is selected; the words of other texts that no
+   example holds are outside of the vector space.
+2. One pass over all whole texts turns each into counts of terms; document frequencies
+   are summed over all documents, as partial sums for each task.
+3. The examples' vectors form an inverted index in blocks of alike examples with the
+   largest weight per term and block. A term's weight is (1 + ln count) x idf x the square
+   of its relevance frequency; the last, log2(2 + examples of label 1 / examples of label 0),
+   is what tells words of insult from other words that are as rare. For each document the blocks are read
+   in the order of their bounds, in runs, until none can hold a nearer example than the K
+   nearest found, so the cosines and the K are exact.
 4. The neighbours vote, weighed by cosine; votes are calibrated by a logistic fit to
    the examples' own leave-one-out votes. Neighbours are kept as evidence.
 
-Defined results: null and empty texts hold no words; they get the base rate of the
+Defined results: null and empty texts, and texts without a term, get the base rate of the
 sample. With no labelled row the score is 0. Labels, language, source and identifiers
 are no inputs of a score; rows held out are never in the sample. Several labels for one
-doc_id count as the largest, several documents for one labelled doc_id each as an example.
-Rows that repeat are scored each; extra columns are ignored; an empty table gives an empty
-result.
+doc_id count as the largest; several different texts for one labelled doc_id are an example
+each, equal rows are one, and LABELLED bounds them together. Rows that repeat, or have a null
+doc_id, are scored each; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import re
+import sys
+import types
+import uuid
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -33,20 +39,20 @@ from pyspark.sql import functions as F
 
 from .common import materialize, small_batches
 
-#: Labelled rows that are examples, at most.
+#: Labelled rows that are examples, and different words in all of them together, at most.
 LABELLED = 8192
-#: Terms, at most; the chi-square value and the document frequency from which a term counts.
-VOCABULARY = 4096
-CHI_SQUARE = 30.0
-LEAST_DF = 5
+POSTINGS = 4_000_000
 #: Neighbours, examples in a block of the index, and folds of which the first is held out.
 K = 15
-BLOCK = 64
+BLOCK = 128
 FOLDS = 5
-PREFIXES = (3, 4, 5, 6, 7)
-#: Weight of all other words together: it sets texts with a stray term among many others apart from texts full of them.
-OTHER_WEIGHT = 0.5
-_OTHER = 0
+#: Terms whose weights are kept as a matrix beside the postings: only a matter of speed.
+PANEL = 512
+#: Documents that are searched together, and terms in a part of the frequencies.
+BATCH = 256
+PART = 8192
+#: The cosine that the base rate votes with.
+PRIOR = 0.1
 _WORD = re.compile(r"\w+")
 
 
@@ -55,140 +61,207 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == 0
 
 
-def terms_of(word: str) -> list[str]:
-    """A word and its beginnings, which are marked."""
-    return [word, *(f"^{word[:n]}" for n in PREFIXES if len(word) >= n)]
-
-
 def word_counts(text: str | None) -> Counter:
     return Counter(_WORD.findall((text or "").lower()))
 
 
-def vocabulary(sample: DataFrame) -> list[str]:
-    """Terms that tell the labels of a sample (text, toxic) apart, in order."""
+def term_of(word: str) -> int:
+    """A word's 64-bit number."""
+    from xxhash import xxh3_64_intdigest
 
-    def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            counts: dict[str, list[int]] = {}
-            for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                for x in {x for w in word_counts(t) for x in terms_of(w)}:
-                    counts.setdefault(x, [0, 0])[y] += 1
-            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), *(pa.array([c[y] for c in counts.values()], pa.int64()) for y in (0, 1))], ["term", "clean", "toxic"])
+    return xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")) - (1 << 63)
 
-    n = {r[0]: r[1] for r in sample.groupBy("toxic").agg(F.count("*")).collect()}
-    n0, n1 = float(n.get(0, 0)), float(n.get(1, 0))
-    if not n0 or not n1:
-        return []
-    by = sample.select("text", "toxic").mapInArrow(present, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("a"), F.sum("toxic").alias("b"))
-    a, b = F.col("a").cast("double"), F.col("b").cast("double")
-    c, d = n0 - a, n1 - b
-    chi = (n0 + n1) * (a * d - b * c) ** 2 / (n0 * n1 * (a + b) * (c + d))
-    rows = by.filter(F.col("a") + F.col("b") >= LEAST_DF).withColumn("chi", chi).filter(F.col("chi") >= CHI_SQUARE)
-    return [r[0] for r in rows.orderBy(F.desc("chi"), "term").limit(VOCABULARY).collect()]
 
+_VECTOR = "terms array<{}>, counts array<int>"
 
-_VECTOR = "terms array<int>, counts array<int>"
 
+def _arrays(ids: list[list[int]], counts: list[list[int]], kind: pa.DataType) -> list[pa.Array]:
+    return [pa.array(ids, pa.list_(kind)), pa.array(counts, pa.list_(pa.int32()))]
 
-def vectors(docs: DataFrame, terms: list[str], keep: tuple[str, ...]) -> DataFrame:
-    """The columns ``keep`` and each text's counts of terms (from 1) and of all other words (term 0)."""
-    at = {t: i + 1 for i, t in enumerate(terms)}
+
+def _by_batch(docs: DataFrame, keep: tuple[str, ...], number, kind: pa.DataType) -> DataFrame:
+    """The columns ``keep`` and each text's counts of terms; ``number()`` gives a task the function from a word to its number or -1."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, tuple[int, ...]] = {}
+        of, known = number(), {}
         for b in batches:
             ids, counts = [], []
             for t in b.column(0).to_pylist():
-                c: dict[int, int] = {}
-                for w, n in word_counts(t).items():
-                    hit = known.get(w)
-                    if hit is None:
-                        if len(known) > 500_000:
-                            known.clear()
-                        hit = known[w] = tuple(at[x] for x in terms_of(w) if x in at) or (_OTHER,)
-                    for x in hit:
-                        c[x] = c.get(x, 0) + n
-                order = sorted(c)
-                ids.append(order)
-                counts.append([c[x] for x in order])
-            arrays = [pa.array(ids, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], *arrays], [*b.schema.names[1:], "terms", "counts"])
+                seen = word_counts(t)
+                if len(known) > 400_000:
+                    known.clear()
+                for w in seen.keys() - known.keys():
+                    known[w] = of(w)
+                c = sorted((x, n) for x, n in zip(map(known.__getitem__, seen), seen.values()) if x != -1)
+                ids.append([x for x, _ in c])
+                counts.append([n for _, n in c])
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], *_arrays(ids, counts, kind)], [*b.schema.names[1:], "terms", "counts"])
 
-    small_batches(docs.sparkSession)
     kinds = dict(docs.dtypes)
-    return docs.select("text", *keep).mapInArrow(count, ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), _VECTOR]))
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), _VECTOR.format("long" if kind == pa.int64() else "int")])
+    small_batches(docs.sparkSession)
+    return docs.select("text", *keep).mapInArrow(count, schema)
+
+
+def vectors(docs: DataFrame, terms: np.ndarray, keep: tuple[str, ...]) -> DataFrame:
+    """The columns ``keep`` and each text's counts of ``terms`` (sorted numbers), by their places."""
+
+    def number():
+        def place(word: str) -> int:
+            x = term_of(word)
+            at = int(np.searchsorted(terms, x))
+            return at if at < len(terms) and terms[at] == x else -1
+
+        return place
+
+    return _by_batch(docs, keep, number, pa.int32())
+
+
+def document_frequencies(seen: DataFrame, n_terms: int) -> np.ndarray:
+    """In how many rows of ``seen`` each term is: a partial sum from each task, in compressed parts, added up in two levels."""
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        total, task = np.zeros(n_terms, np.int64), TaskContext.get().partitionId()
+        for b in batches:
+            at = b.column(0).flatten().to_numpy()
+            if len(at):
+                np.add.at(total, at, 1) if 8 * len(at) < n_terms else np.add(total, np.bincount(at, minlength=n_terms), out=total)
+        parts = [zlib.compress(total[s : s + PART].tobytes(), 1) for s in range(0, n_terms, PART)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([task % 64] * len(parts), pa.int32()), pa.array(parts, pa.binary())], ["part", "salt", "sums"])
+
+    def add(t: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(zlib.decompress(x.as_py()), np.int64) for x in t["sums"])
+        return pa.table({"part": t["part"][:1], "salt": t["salt"][:1], "sums": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
 
+    schema = "part int, salt int, sums binary"
+    rows = seen.select("terms").mapInArrow(partial, schema).groupBy("part", "salt").applyInArrow(add, schema).groupBy("part").applyInArrow(add, schema).collect()
+    parts = {r["part"]: np.frombuffer(zlib.decompress(bytes(r["sums"])), np.int64) for r in rows}  # as long as the list of terms
+    return np.concatenate([parts[i] for i in sorted(parts)]) if parts else np.zeros(n_terms, np.int64)
 
-def weigh(terms: list[int], counts: list[int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A unit TF-IDF vector; logarithmic counts."""
-    t = np.array(terms, np.int64)
-    w = (1 + np.log(np.array(counts, float))) * idf[t] if len(t) else np.zeros(0)
-    norm = np.sqrt((w * w).sum())
-    return t, (w / norm if norm else w)
+
+class Examples:
+    """Labelled examples as rows of a sparse matrix: identifiers, labels, and each one's terms (places) and counts, one after the other."""
+
+    def __init__(self, ids: np.ndarray, labels: np.ndarray, start: np.ndarray, terms: np.ndarray, counts: np.ndarray):
+        self.ids, self.labels, self.start, self.terms, self.counts = ids, labels, start, terms, counts
+
+    def __len__(self) -> int:
+        return len(self.ids)
+
+    def relevance(self, n_terms: int) -> np.ndarray:
+        """Relevance frequency of each term: log2(2 + a / max(1, c)) for a examples of label 1 and c of label 0 that hold it."""
+        toxic = np.repeat(self.labels > 0, np.diff(self.start))
+        a, c = np.bincount(self.terms[toxic], minlength=n_terms), np.bincount(self.terms[~toxic], minlength=n_terms)
+        return np.log2(2 + a / np.maximum(1, c))
+
+
+def weigh(terms: np.ndarray, counts: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """A unit vector of the weights (1 + ln count) x scale."""
+    w = (1 + np.log(counts)) * scale[terms]
+    norm = np.sqrt(w @ w)
+    return w / norm if norm else w
 
 
 class BlockMaxIndex:
-    """An inverted index over labelled examples, in blocks with the largest weight per term."""
-
-    def __init__(self, examples: list[tuple[int, int, list[int], list[int]]], idf: np.ndarray, block: int = BLOCK):
-        self.idf, self.block = idf, block
-        weighed = [(i, y, *weigh(t, c, idf)) for i, y, t, c in examples]
-        # alike examples share blocks: by their heaviest term, then by identifier
-        weighed.sort(key=lambda e: (int(e[2][np.argmax(e[3])]) if len(e[2]) else -1, e[0]))
-        self.vectors = [(e[2], e[3]) for e in weighed]
-        self.ids, self.labels = np.array([e[0] for e in weighed], np.int64), np.array([e[1] for e in weighed], float)
-        n, v = len(weighed), len(idf)
-        self.blocks = -(-n // block)
-        self.bound = np.zeros((v, self.blocks))
-        term, who, weight = (np.concatenate([f(k, e) for k, e in enumerate(weighed)] or [np.zeros(0)]) for f in (lambda k, e: e[2], lambda k, e: np.full(len(e[2]), k), lambda k, e: e[3]))
-        term, who = term.astype(np.int64), who.astype(np.int64)
-        np.maximum.at(self.bound, (term, who // block), weight)
-        order = np.lexsort((who, term))
-        self.who, self.weight = who[order], weight[order]
-        # where the postings of a term in a block begin
-        self.start = np.searchsorted(term[order] * (self.blocks + 1) + who[order] // block, (np.arange(v)[:, None] * (self.blocks + 1) + np.arange(self.blocks + 1)).ravel()).reshape(v, -1)
-
-    def nearest(self, t: np.ndarray, w: np.ndarray, k: int, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k nearest examples (positions) and their cosines, by cosine, then position; without example ``but``. Only cosines above 0 count."""
-        if not len(t) or not self.blocks:
-            return np.zeros(0, np.int64), np.zeros(0)
-        bounds = w @ self.bound[t]
-        first = int(np.argmax(bounds))
-        best_i, best_w = self._best(np.array([first]), t, w, k, but)
-        # what is held bounds the blocks that are still worth reading; ties go to the smaller position
-        least = best_w[-1] - 1e-12 if len(best_w) == k else 0.0
-        rest = np.flatnonzero(bounds >= least) if least > 0 else np.flatnonzero(bounds > 0)
-        rest = rest[rest != first]
-        if len(best_w) == k:
-            rest = rest[(np.round(bounds[rest], 12) > best_w[-1]) | (rest * self.block < best_i[-1])]
-        if not len(rest):
-            return best_i, best_w
-        return self._best(np.append(rest, first), t, w, k, but)
-
-    def _best(self, blocks: np.ndarray, t: np.ndarray, w: np.ndarray, k: int, but: int) -> tuple[np.ndarray, np.ndarray]:
-        """The k nearest examples within some blocks: each term's postings there, added up."""
-        score = np.zeros(self.blocks * self.block)
-        few = 8 * len(blocks) < self.blocks
-        for x, q in zip(t.tolist(), w.tolist()):
-            row = self.start[x]
-            for s, e in zip(row[blocks].tolist(), row[blocks + 1].tolist()) if few else ((row[0], row[-1]),):
-                if e > s:
-                    score[self.who[s:e]] += q * self.weight[s:e]  # a term has an example once
-        if but >= 0:
-            score[but] = 0
-        i = (np.sort(blocks)[:, None] * self.block + np.arange(self.block)).ravel()
-        found = np.round(score[i], 12)
-        i, found = i[found > 0], found[found > 0]
-        if len(i) > 4 * k:
-            cut = np.partition(found, len(found) - k)[len(found) - k]
-            i, found = i[found >= cut], found[found >= cut]
-        order = np.lexsort((i, -found))[:k]
-        return i[order], found[order]
+    """An inverted index over labelled examples, in blocks with the largest weight per term.
+
+    Postings of the most frequent terms are held as dense panels of a block, the others' as
+    lists. An example's position is its place in the order by which alike ones share blocks.
+    """
+
+    def __init__(self, examples: Examples, scale: np.ndarray, block: int = BLOCK, panel: int = PANEL):
+        n, v = len(examples), len(scale)
+        self.scale, self.block, self.blocks = scale, block, -(-n // block)
+        df = np.bincount(examples.terms, minlength=v)
+        rows = []
+        for i in range(n):
+            s, e = examples.start[i], examples.start[i + 1]
+            t = examples.terms[s:e]
+            w = weigh(t, examples.counts[s:e], scale)
+            # alike examples: by the heaviest term if it is one of label 1, else by the commonest term (a language's), and by length
+            rows.append((int(t[np.argmax(w)]) if examples.labels[i] and len(t) else -1, int(t[np.argmax(df[t])]) if len(t) else -1, len(t), int(examples.ids[i]), i, t, w))
+        rows.sort(key=lambda r: r[:5])
+        self.ids, self.labels = np.array([r[3] for r in rows], np.int64), np.array([examples.labels[r[4]] for r in rows], float)
+        self.vectors = [(r[5], r[6]) for r in rows]
+        term = np.concatenate([r[5] for r in rows] or [np.zeros(0, np.int64)]).astype(np.int64)
+        weight = np.concatenate([r[6] for r in rows] or [np.zeros(0)])
+        who = np.repeat(np.arange(n), [len(r[5]) for r in rows]).astype(np.int64)
+        dense = np.argsort(-df, kind="stable")[: min(panel, v)]
+        dense = dense[df[dense] > 1]
+        self.column = np.full(v, -1, np.int32)
+        self.column[dense] = np.arange(len(dense))
+        col = self.column[term]
+        self.panel = np.zeros((len(dense), self.blocks * block))
+        self.panel[col[col >= 0], who[col >= 0]] = weight[col >= 0]
+        self.maxima = self.panel.reshape(len(dense), self.blocks, block).max(axis=2) if n else np.zeros((len(dense), 0))
+        rest = np.flatnonzero(col < 0)
+        rest = rest[np.lexsort((who[rest], term[rest]))]
+        self.who, self.weight = who[rest].astype(np.int32), weight[rest]
+        self.start = np.searchsorted(term[rest], np.arange(v + 1))
+        self.read = self.asked = 0
+
+    def nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int, but: list[int] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Of each query (terms, weights) the k nearest examples (positions) and their cosines, by cosine, then
+        position; without example ``but[i]``. Only cosines above 0 count, and 12 decimals of them."""
+        m, nb, size = len(queries), self.blocks, self.block
+        if not nb:
+            return [(np.zeros(0, np.int64), np.zeros(0))] * m
+        common, listed = np.zeros((m, len(self.panel))), np.zeros((m, nb * size))
+        for r, (t, w) in enumerate(queries):
+            col = self.column[t]
+            common[r, col[col >= 0]] = w[col >= 0]
+            t, w = t[col < 0], w[col < 0]
+            s = self.start[t]
+            n = self.start[t + 1] - s
+            at = np.repeat(s - np.cumsum(n) + n, n) + np.arange(n.sum())
+            if len(at):
+                listed[r] = np.bincount(self.who[at], np.repeat(w, n) * self.weight[at], minlength=nb * size)
+        # a block's bound: its largest weights of the common terms, and the largest sum that the listed ones have in it
+        bounds = common @ self.maxima + listed.reshape(m, nb, size).max(axis=2)
+        order = np.argsort(-bounds, axis=1, kind="stable")
+        score, top, rows = np.full((m, nb * size), -1.0), np.full((m, k), -1.0), np.arange(m)
+        low, high = 0, 1
+        while low < nb:
+            picks = order[:, low:high]
+            wanted = bounds[rows[:, None], picks]
+            wanted = (wanted >= top.min(axis=1)[:, None] - 1e-9) & (wanted > 0)
+            if not wanted.any():
+                break
+            who, place = np.nonzero(wanted)
+            which = picks[who, place]
+            self.read += len(which)
+            new = np.full((m, picks.shape[1], size), -1.0)
+            for b in np.unique(which):
+                own = which == b
+                r = who[own]
+                cut = slice(b * size, (b + 1) * size)
+                got = common[r] @ self.panel[:, cut] + listed[r, cut]
+                score[r, cut] = got
+                new[r, place[own]] = got
+            if but is not None:
+                score[rows, but] = -1.0
+                at = np.asarray(but)
+                own = picks == (at // size)[:, None]
+                r, p = np.nonzero(own)
+                new[r, p, at[r] % size] = -1.0
+            both = np.concatenate([top, new.reshape(m, -1)], axis=1)
+            top = -np.partition(-both, k - 1, axis=1)[:, :k]
+            low, high = high, min(nb, 4 * high)
+        self.asked += m * nb
+        out, least = [], np.maximum(np.round(top.min(axis=1), 12), 0)
+        for r in range(m):
+            i = np.flatnonzero(score[r] >= least[r] - 1e-11)
+            x = np.round(score[r, i], 12)
+            i, x = i[x > 0], x[x > 0]
+            first = np.lexsort((i, -x))[:k]
+            out.append((i[first], x[first]))
+        return out
 
     def vote(self, near: np.ndarray, cosine: np.ndarray) -> float:
-        """The share of label 1, weighed by closeness; the base rate counts as one vote of weight 0.1."""
-        weight = cosine**4
-        return float((weight @ self.labels[near] + 0.1 * self.rate) / (weight.sum() + 0.1))
+        """The share of label 1, weighed by closeness; the base rate counts as one vote more."""
+        return float((cosine @ self.labels[near] + PRIOR * self.rate) / (cosine.sum() + PRIOR))
 
     @property
     def rate(self) -> float:
@@ -213,59 +286,92 @@ def calibrated(vote: float, fit: tuple[float, float]) -> float:
     return float(1 / (1 + np.exp(-(fit[0] * np.log(v / (1 - v)) + fit[1]))))
 
 
-def score(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, k: int = K) -> DataFrame:
+def chosen_rows(d: DataFrame, labels: DataFrame, labelled: int) -> DataFrame:
+    """doc_id, toxic, row (a hash of the row) of the labelled rows that may be examples: at most ``labelled``, whatever repeats."""
+    usable = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic")).filter(~held_out(F.col("doc_id")))
+    few = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled)
+    found = d.select("doc_id", _row()).join(F.broadcast(few), "doc_id").distinct()
+    return materialize(found.orderBy("row", "doc_id").limit(labelled), "toxic-chosen")
+
+
+def _row() -> Column:
+    return F.xxhash64("doc_id", "text").alias("row")
+
+
+def examples_of(d: DataFrame, chosen: DataFrame, postings: int = POSTINGS) -> tuple[Examples, np.ndarray]:
+    """The examples, in the order of their hashes while they hold at most ``postings`` words together, and all their words' numbers in order."""
+    texts = d.select("doc_id", "text", _row()).join(F.broadcast(chosen), ["doc_id", "row"])
+    words = _by_batch(texts, ("doc_id", "toxic", "row"), lambda: term_of, pa.int64()).dropDuplicates(["doc_id", "row"])
+    words = materialize(words, "toxic-words")
+    sizes = sorted((r[0], r[1], r[2]) for r in words.select("row", "doc_id", F.size("terms")).collect())  # at most LABELLED
+    held = int(np.searchsorted(np.cumsum([n for *_, n in sizes]), postings, "right"))
+    last = sizes[held - 1][:2] if held else (None, None)
+    kept = words.filter((F.col("row") < last[0]) | (F.col("row") == last[0]) & (F.col("doc_id") <= last[1])) if held else words.limit(0)
+    t = kept.select("row", "doc_id", "toxic", "terms", "counts").toArrow().combine_chunks().sort_by([("row", "ascending"), ("doc_id", "ascending")])
+    flat, counts = (np.concatenate([np.asarray(c.flatten()) for c in t[x].chunks] or [np.zeros(0, np.int64)]) for x in ("terms", "counts"))
+    start = np.concatenate([[0], np.cumsum([len(x) for x in t["terms"]])]).astype(np.int64)
+    terms, places = np.unique(flat, return_inverse=True)
+    return Examples(t["doc_id"].to_numpy(), t["toxic"].to_numpy(), start, places.astype(np.int32), counts.astype(np.int32)), terms.astype(np.int64)
+
+
+def _worker_index(key: str, make) -> BlockMaxIndex:
+    """One index for each Python worker, kept between tasks: what travels are the examples."""
+    kept = sys.modules.setdefault("_streamframe_toxic", types.ModuleType("_streamframe_toxic"))
+    if kept.__dict__.get("key") != key:
+        kept.key, kept.index = key, make()
+    return kept.index
+
+
+def score(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, k: int = K, postings: int = POSTINGS) -> DataFrame:
     """Per document: doc_id, held_out, score, predicted, evidence (doc_id, label and cosine of the nearest examples)."""
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    usable = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic")).filter(~held_out(F.col("doc_id")))
-    chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled)
-    sample = materialize(d.join(F.broadcast(chosen), "doc_id"), "toxic-sample")
     small_batches(docs.sparkSession)
-    terms = vocabulary(sample)
+    examples, terms = examples_of(d, chosen_rows(d, labels, labelled), postings)
     seen = materialize(vectors(d, terms, ("doc_id",)), "toxic-vectors")
-    df = {r[0]: r[1] for r in seen.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("n")).collect()}  # a row for each term
-    n = seen.count()
-    idf = np.array([np.log((1 + n) / (1 + df.get(t, 0))) for t in range(len(terms) + 1)])
-    idf[_OTHER] = OTHER_WEIGHT
-    examples = sorted((tuple(r) for r in vectors(sample, terms, ("doc_id", "toxic")).collect()), key=str)  # at most ``labelled`` short vectors
-    index = BlockMaxIndex(examples, idf)
-    fit = calibration(leave_one_out(docs.sparkSession, index, k), index.labels)
+    n, df = seen.count(), document_frequencies(seen, len(terms))
+    scale = np.log((1 + n) / (1 + df)) * examples.relevance(len(terms)) ** 2
+    key = uuid.uuid4().hex
+    index = BlockMaxIndex(examples, scale)
+    fit = calibration(leave_one_out(docs.sparkSession, examples, scale, k, key), index.labels)
+    rate = index.rate
+    del index
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = _worker_index(key, lambda: BlockMaxIndex(examples, scale))
         same: dict[tuple, tuple] = {}
         for b in batches:
-            scores, evidence = [], []
-            for t, c in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                at, w = weigh(t, c, idf)
-                w = np.round(w, 9)
-                key = (at.tobytes(), w.tobytes())  # texts with no term but the common one are all one vector
-                if key not in same:
-                    if len(same) > 50_000:
-                        same.clear()
-                    near, cosine = index.nearest(at, w, k)
-                    s = calibrated(index.vote(near, cosine), fit) if len(index.labels) else 0.0
-                    if not len(near):
-                        s = index.rate
-                    same[key] = (s, [{"doc_id": int(index.ids[i]), "label": int(index.labels[i]), "cosine": float(x)} for i, x in zip(near, cosine)])
-                s, e = same[key]
-                scores.append(s)
-                evidence.append(e)
+            names = [(t.values.to_numpy().tobytes(), c.values.to_numpy().tobytes()) for t, c in zip(b.column(1), b.column(2))]
+            if len(same) > 20_000:
+                same.clear()
+            new = [x for x in dict.fromkeys(names) if x not in same]
+            for s in range(0, len(new), BATCH):
+                part = new[s : s + BATCH]
+                at = [np.frombuffer(t, np.int32) for t, _ in part]
+                found = index.nearest([(t, weigh(t, np.frombuffer(c, np.int32), scale)) for t, (_, c) in zip(at, part)], k)
+                for x, (near, cosine) in zip(part, found):
+                    p = (calibrated(index.vote(near, cosine), fit) if len(near) else rate) if len(index.labels) else 0.0
+                    same[x] = (p, [{"doc_id": i, "label": y, "cosine": v} for i, y, v in zip(index.ids[near].tolist(), index.labels[near].astype(int).tolist(), cosine.tolist())])
+            got = [same[x] for x in names]
             kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("label", pa.int32()), ("cosine", pa.float64())]))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64()), pa.array(evidence, kind)], ["doc_id", "score", "evidence"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], kind)], ["doc_id", "score", "evidence"])
 
     out = seen.mapInArrow(vote, "doc_id long, score double, evidence array<struct<doc_id: long, label: int, cosine: double>>")
     held = F.coalesce(held_out(F.col("doc_id")), F.lit(False))
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
 
 
-def leave_one_out(spark: SparkSession, index: BlockMaxIndex, k: int) -> np.ndarray:
+def leave_one_out(spark: SparkSession, examples: Examples, scale: np.ndarray, k: int, key: str) -> np.ndarray:
     """Each example's vote by the others, in the index's order; as many votes as examples, made on the executors."""
-    n = len(index.labels)
+    n = len(examples)
 
     def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = _worker_index(key, lambda: BlockMaxIndex(examples, scale))
         for b in batches:
             at = b.column(0).to_pylist()
-            got = [index.vote(*index.nearest(*index.vectors[i], k, but=i)) for i in at]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.float64())], ["id", "vote"])
+            for s in range(0, len(at), BATCH):
+                own = at[s : s + BATCH]
+                got = [index.vote(*x) for x in index.nearest([index.vectors[i] for i in own], k, own)]
+                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(got, pa.float64())], ["id", "vote"])
 
-    rows = spark.range(0, n, 1, max(1, -(-n // 256))).mapInArrow(votes, "id long, vote double").collect() if n else []
+    rows = spark.range(0, n, 1, max(1, -(-n // 512))).mapInArrow(votes, "id long, vote double").collect() if n else []
     return np.array([v for _, v in sorted((r[0], r[1]) for r in rows)])

@@ -354,20 +354,70 @@ def test_toxicity(spark):
     assert toxicity.score(d.limit(0), y).count() == 0
 
 
-def test_block_max_search_is_exact():
+def random_examples(rng, n, terms):
+    rows = [np.sort(rng.choice(terms, rng.integers(0, 8), replace=False)) for _ in range(n)]
+    start = np.concatenate([[0], np.cumsum([len(t) for t in rows])])
+    flat = np.concatenate(rows).astype(np.int32)
+    return toxicity.Examples(np.arange(n), rng.integers(0, 2, n), start, flat, rng.integers(1, 5, len(flat)).astype(np.int32))
+
+
+@pytest.mark.parametrize("block, panel", [(16, 0), (16, 7), (128, 40), (1024, 3)])
+def test_block_max_search_is_exact(block, panel):
     rng = np.random.default_rng(3)
-    idf = rng.random(40) + 0.1
-    make = lambda: (lambda t: (t, rng.integers(1, 5, len(t)).tolist()))(sorted(rng.choice(40, rng.integers(0, 8), replace=False).tolist()))
-    index = toxicity.BlockMaxIndex([(i, i % 2, *make()) for i in range(500)], idf, block=16)
+    scale = rng.random(40) + 0.1
+    index = toxicity.BlockMaxIndex(random_examples(rng, 500, 40), scale, block=block, panel=panel)
     dense = np.zeros((500, 40))
-    np.add.at(dense, (index.who, np.repeat(np.arange(40), np.diff(np.append(index.start[:, 0], len(index.who))))), index.weight)
-    for _ in range(200):
-        t, w = toxicity.weigh(*make(), idf)
-        near, cosine = index.nearest(t, w, 10)
-        all_ = np.round(dense[:, t] @ w, 12) if len(t) else np.zeros(500)
-        order = np.lexsort((np.arange(500), -all_))[:10]
-        order = order[all_[order] > 0]
-        assert near.tolist() == order.tolist() and np.allclose(cosine, all_[order])
+    for i, (t, w) in enumerate(index.vectors):
+        dense[i, t] = w
+    others = random_examples(rng, 200, 40)
+    queries = [(t, toxicity.weigh(t, others.counts[s:e], scale)) for s, e in zip(others.start, others.start[1:]) for t in [others.terms[s:e]]]
+    for but in (None, list(range(200))):
+        for i, ((t, w), (near, cosine)) in enumerate(zip(queries, index.nearest(queries, 10, but))):
+            all_ = np.round(dense[:, t] @ w, 12) if len(t) else np.zeros(500)
+            if but:
+                all_[i] = 0
+            order = np.lexsort((np.arange(500), -all_))[:10]
+            order = order[all_[order] > 0]
+            assert near.tolist() == order.tolist() and np.allclose(cosine, all_[order])
+    assert 0 < index.read <= index.asked
+
+
+def test_toxicity_equals_brute_force(spark):
+    docs, labels = toxic_corpus()
+    docs = docs[:240] + [(i + 5000, t) for i, t in docs[:20]] + [(6000, "long " * 4000 + "lump"), (6001, "strange words only")]
+    label = {i: y for i, _, y in labels if i < 240}
+    known = {i: y for i, y in label.items() if zlib.crc32(str(i).encode()) % 5}
+    counts = [Counter(t.split()) for _, t in docs]
+    terms = {w for (i, _), c in zip(docs, counts) if i in known for w in c}
+    df = Counter(w for c in counts for w in c)
+    a, c = (Counter(w for (i, _), x in zip(docs, counts) if known.get(i) == y for w in x) for y in (1, 0))
+    scale = {w: np.log((1 + len(docs)) / (1 + df[w])) * np.log2(2 + a[w] / max(1, c[w])) ** 2 for w in terms}
+
+    def vector(x):
+        v = {w: (1 + np.log(n)) * scale[w] for w, n in x.items() if w in scale}
+        norm = np.sqrt(sum(y * y for y in v.values()))
+        return {w: y / norm for w, y in v.items()} if norm else {}
+
+    vs = {i: vector(x) for (i, _), x in zip(docs, counts)}
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = toxicity.score(frame, spark.createDataFrame(labels[:120], "doc_id long, quality int, toxic int"))
+    for r in got.collect():
+        near = sorted((sum(x * vs[i].get(w, 0) for w, x in vs[r.doc_id].items()) for i in known), reverse=True)[: toxicity.K]
+        assert np.allclose([e.cosine for e in r.evidence], [x for x in near if x > 1e-12]) and all(e.label == known[e.doc_id] for e in r.evidence)
+    index_df = toxicity.document_frequencies(spark.createDataFrame([([0, 2],), ([2],), ([],)], "terms array<int>").repartition(3), 20_000)
+    assert index_df[:4].tolist() == [1, 0, 2, 0] and len(index_df) == 20_000
+
+
+def test_the_sample_of_labelled_rows_is_bounded(spark):
+    docs = [(1, f"text number {i}") for i in range(300)] + [(2, "same")] * 300 + [(i, f"w{i} " * 5) for i in range(3, 60)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    y = spark.createDataFrame([(i, 1, i % 2) for i in range(60)], "doc_id long, quality int, toxic int")
+    for labelled, postings in ((10, 10**6), (100, 30), (100, 0)):
+        chosen = toxicity.chosen_rows(d, y, labelled)
+        examples, terms = toxicity.examples_of(d, chosen, postings)
+        assert len(examples) <= labelled and len(examples.terms) <= postings and len(terms) == len(set(examples.terms.tolist()))
+        assert len({(i, *examples.terms[s:e]) for i, s, e in zip(examples.ids.tolist(), examples.start, examples.start[1:])}) == len(examples)
+    assert toxicity.score(d, y, labelled=10).count() == len(docs)
 
 
 # pipeline

@@ -90,8 +90,9 @@ def _by_batch(docs: DataFrame, keep: tuple[str, ...], number, kind: pa.DataType)
                 seen = word_counts(t)
                 if len(known) > 400_000:
                     known.clear()
-                for w in seen.keys() - known.keys():
-                    known[w] = of(w)
+                for w in seen:
+                    if w not in known:
+                        known[w] = of(w)
                 c = sorted((x, n) for x, n in zip(map(known.__getitem__, seen), seen.values()) if x != -1)
                 ids.append([x for x, _ in c])
                 counts.append([n for _, n in c])

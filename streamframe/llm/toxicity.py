@@ -65,41 +65,38 @@ def word_counts(text: str | None) -> Counter:
     return Counter(_WORD.findall((text or "").lower()))
 
 
-def term_of(word: str) -> int:
-    """A word's 64-bit number."""
+def numbers_of(words: list[str]) -> np.ndarray:
+    """The words' 64-bit numbers."""
     from xxhash import xxh3_64_intdigest
 
-    return xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")) - (1 << 63)
-
-
-_VECTOR = "terms array<{}>, counts array<int>"
-
-
-def _arrays(ids: list[list[int]], counts: list[list[int]], kind: pa.DataType) -> list[pa.Array]:
-    return [pa.array(ids, pa.list_(kind)), pa.array(counts, pa.list_(pa.int32()))]
+    return np.fromiter((xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words), np.uint64, len(words)).view(np.int64)
 
 
 def _by_batch(docs: DataFrame, keep: tuple[str, ...], number, kind: pa.DataType) -> DataFrame:
-    """The columns ``keep`` and each text's counts of terms; ``number()`` gives a task the function from a word to its number or -1."""
+    """The columns ``keep`` and each text's counts of terms; ``number`` turns words' numbers into terms, -1 for none."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, known = number(), {}
+        known: dict[str, int] = {}
         for b in batches:
-            ids, counts = [], []
-            for t in b.column(0).to_pylist():
-                seen = word_counts(t)
-                if len(known) > 400_000:
-                    known.clear()
-                for w in seen:
-                    if w not in known:
-                        known[w] = of(w)
-                c = sorted((x, n) for x, n in zip(map(known.__getitem__, seen), seen.values()) if x != -1)
-                ids.append([x for x, _ in c])
-                counts.append([n for _, n in c])
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], *_arrays(ids, counts, kind)], [*b.schema.names[1:], "terms", "counts"])
+            seen = [word_counts(t) for t in b.column(0).to_pylist()]
+            if len(known) > 400_000:
+                known = {}
+            new = list({w for c in seen for w in c if w not in known})
+            known.update(zip(new, number(numbers_of(new)).tolist()))
+            start, ids, counts = [0], [], []
+            for c in seen:
+                x, n = np.fromiter(map(known.__getitem__, c), np.int64, len(c)), np.fromiter(c.values(), np.int32, len(c))
+                has = x != -1
+                x, n = x[has], n[has]
+                order = np.argsort(x)
+                ids.append(x[order])
+                counts.append(n[order])
+                start.append(start[-1] + len(x))
+            arrays = [pa.ListArray.from_arrays(pa.array(start, pa.int32()), pa.array(np.concatenate([*v, np.zeros(0, v[0].dtype if v else np.int64)]), k, safe=False)) for v, k in ((ids, kind), (counts, pa.int32()))]
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], *arrays], [*b.schema.names[1:], "terms", "counts"])
 
     kinds = dict(docs.dtypes)
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), _VECTOR.format("long" if kind == pa.int64() else "int")])
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), f"terms array<{'long' if kind == pa.int64() else 'int'}>, counts array<int>"])
     small_batches(docs.sparkSession)
     return docs.select("text", *keep).mapInArrow(count, schema)
 
@@ -107,15 +104,11 @@ def _by_batch(docs: DataFrame, keep: tuple[str, ...], number, kind: pa.DataType)
 def vectors(docs: DataFrame, terms: np.ndarray, keep: tuple[str, ...]) -> DataFrame:
     """The columns ``keep`` and each text's counts of ``terms`` (sorted numbers), by their places."""
 
-    def number():
-        def place(word: str) -> int:
-            x = term_of(word)
-            at = int(np.searchsorted(terms, x))
-            return at if at < len(terms) and terms[at] == x else -1
-
-        return place
+    def place(numbers: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(terms, numbers)
+        return np.where((at < len(terms)) & (terms[np.minimum(at, len(terms) - 1)] == numbers), at, -1) if len(terms) else np.full(len(numbers), -1)
 
-    return _by_batch(docs, keep, number, pa.int32())
+    return _by_batch(docs, keep, place, pa.int32())
 
 
 def document_frequencies(seen: DataFrame, n_terms: int) -> np.ndarray:
@@ -302,7 +295,7 @@ def _row() -> Column:
 def examples_of(d: DataFrame, chosen: DataFrame, postings: int = POSTINGS) -> tuple[Examples, np.ndarray]:
     """The examples, in the order of their hashes while they hold at most ``postings`` words together, and all their words' numbers in order."""
     texts = d.select("doc_id", "text", _row()).join(F.broadcast(chosen), ["doc_id", "row"])
-    words = _by_batch(texts, ("doc_id", "toxic", "row"), lambda: term_of, pa.int64()).dropDuplicates(["doc_id", "row"])
+    words = _by_batch(texts, ("doc_id", "toxic", "row"), lambda x: np.where(x == -1, 0, x), pa.int64()).dropDuplicates(["doc_id", "row"])
     words = materialize(words, "toxic-words")
     sizes = sorted((r[0], r[1], r[2]) for r in words.select("row", "doc_id", F.size("terms")).collect())  # at most LABELLED
     held = int(np.searchsorted(np.cumsum([n for *_, n in sizes]), postings, "right"))

@@ -29,7 +29,6 @@ import sys
 import types
 import uuid
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,14 +39,14 @@ from pyspark.sql import functions as F
 from .common import materialize, small_batches
 
 #: Labelled rows that are examples, and different words in all of them together, at most.
-LABELLED = 8192
-POSTINGS = 4_000_000
+LABELLED = 4096
+POSTINGS = 2_000_000
 #: Neighbours, examples in a block of the index, and folds of which the first is held out.
 K = 15
 BLOCK = 128
 FOLDS = 5
 #: Terms whose weights are kept as a matrix beside the postings: only a matter of speed.
-PANEL = 512
+PANEL = 256
 #: Documents that are searched together, and terms in a part of the frequencies.
 BATCH = 256
 PART = 8192
@@ -61,40 +60,57 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == 0
 
 
-def word_counts(text: str | None) -> Counter:
-    return Counter(_WORD.findall((text or "").lower()))
+def words_of(text: str) -> list[str]:
+    return _WORD.findall(text.lower())
 
 
 def numbers_of(words: list[str]) -> np.ndarray:
-    """The words' 64-bit numbers."""
+    """The words' 63-bit numbers."""
     from xxhash import xxh3_64_intdigest
 
-    return np.fromiter((xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words), np.uint64, len(words)).view(np.int64)
+    return (np.fromiter((xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words), np.uint64, len(words)) >> np.uint64(1)).astype(np.int64)
 
 
 def _by_batch(docs: DataFrame, keep: tuple[str, ...], number, kind: pa.DataType) -> DataFrame:
     """The columns ``keep`` and each text's counts of terms; ``number`` turns words' numbers into terms, -1 for none."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # what stands between white space: its word's term, -1 for none, or -2 - i where several[i] are its words' terms
         known: dict[str, int] = {}
+        several: list[np.ndarray] = []
         for b in batches:
-            seen = [word_counts(t) for t in b.column(0).to_pylist()]
-            if len(known) > 400_000:
-                known = {}
-            new = list({w for c in seen for w in c if w not in known})
-            known.update(zip(new, number(numbers_of(new)).tolist()))
-            start, ids, counts = [0], [], []
-            for c in seen:
-                x, n = np.fromiter(map(known.__getitem__, c), np.int64, len(c)), np.fromiter(c.values(), np.int32, len(c))
-                has = x != -1
-                x, n = x[has], n[has]
-                order = np.argsort(x)
-                ids.append(x[order])
-                counts.append(n[order])
-                start.append(start[-1] + len(x))
-            arrays = [pa.ListArray.from_arrays(pa.array(start, pa.int32()), pa.array(np.concatenate([*v, np.zeros(0, v[0].dtype if v else np.int64)]), k, safe=False)) for v, k in ((ids, kind), (counts, pa.int32()))]
+            chunks = [(t or "").lower().split() for t in b.column(0).to_pylist()]
+            if len(known) > 600_000:
+                known, several = {}, []
+            new = list({x for c in chunks for x in c if x not in known})
+            parts = list(map(words_of, new))
+            terms = number(numbers_of([w for p in parts for w in p]))
+            at = 0
+            for x, p in zip(new, parts):
+                own = terms[at : at + len(p)]
+                at += len(p)
+                if len(p) == 1:
+                    known[x] = int(own[0])
+                elif (own >= 0).any():
+                    known[x] = -2 - len(several)
+                    several.append(own)
+                else:
+                    known[x] = -1
+            rows, ids = np.repeat(np.arange(len(chunks)), list(map(len, chunks))), np.fromiter((known[x] for c in chunks for x in c), np.int64)
+            many = np.flatnonzero(ids < -1)
+            if len(many):
+                more = [several[-2 - i] for i in ids[many].tolist()]
+                rows, ids = np.concatenate([rows, np.repeat(rows[many], list(map(len, more)))]), np.concatenate([ids, *more])
+            rows, ids = rows[ids >= 0], ids[ids >= 0]
+            order = np.lexsort((ids, rows)) if many_bits else np.argsort(rows << 32 | ids)
+            rows, ids = rows[order], ids[order]
+            first = np.flatnonzero(np.append(True, (rows[1:] != rows[:-1]) | (ids[1:] != ids[:-1]))[: len(ids)])
+            n = np.diff(np.append(first, len(ids)))
+            start = pa.array(np.searchsorted(rows[first], np.arange(len(chunks) + 1)), pa.int32())
+            arrays = [pa.ListArray.from_arrays(start, pa.array(v, k)) for v, k in ((ids[first].astype(kind.to_pandas_dtype()), kind), (n.astype(np.int32), pa.int32()))]
             yield pa.RecordBatch.from_arrays([*b.columns[1:], *arrays], [*b.schema.names[1:], "terms", "counts"])
 
+    many_bits = kind == pa.int64()
     kinds = dict(docs.dtypes)
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in keep), f"terms array<{'long' if kind == pa.int64() else 'int'}>, counts array<int>"])
     small_batches(docs.sparkSession)
@@ -295,7 +311,7 @@ def _row() -> Column:
 def examples_of(d: DataFrame, chosen: DataFrame, postings: int = POSTINGS) -> tuple[Examples, np.ndarray]:
     """The examples, in the order of their hashes while they hold at most ``postings`` words together, and all their words' numbers in order."""
     texts = d.select("doc_id", "text", _row()).join(F.broadcast(chosen), ["doc_id", "row"])
-    words = _by_batch(texts, ("doc_id", "toxic", "row"), lambda x: np.where(x == -1, 0, x), pa.int64()).dropDuplicates(["doc_id", "row"])
+    words = _by_batch(texts, ("doc_id", "toxic", "row"), lambda x: x, pa.int64()).dropDuplicates(["doc_id", "row"])
     words = materialize(words, "toxic-words")
     sizes = sorted((r[0], r[1], r[2]) for r in words.select("row", "doc_id", F.size("terms")).collect())  # at most LABELLED
     held = int(np.searchsorted(np.cumsum([n for *_, n in sizes]), postings, "right"))

@@ -10,12 +10,14 @@ tree, where fewer groups of the same size pack them again. Where a level leaves
 half of its pieces open, as long pieces do that no other fits beside, the next is the last.
 
 Null and empty texts hold their end mark only; texts of any length are cut. Repeated rows
-are packed each on its own; extra columns are ignored; an empty table has no sequences. Groups depend on identifiers and counts only, so reruns agree.
+are packed each on its own; extra columns are ignored; an empty table has no sequences. Sequences are as full in each run; their
+numbers depend on how the table of pieces is split.
 """
 
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,8 +34,10 @@ END = 0
 GROUP_ROWS = 8192
 #: From this share of the capacity a bin is left as it is before the last level.
 CLOSED = 0.995
-#: Bits of a sequence's number that its place in its group takes.
-BIN_BITS = 28
+#: Bits of a sequence's number that its place in its group takes, and of the group's number.
+BIN_BITS, GROUP_BITS = 24, 34
+#: Exchanges that the local search tries for each piece of a group.
+EFFORT = 50
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -91,42 +95,45 @@ class Bins:
         return -(-sum(self.size) // self.capacity)
 
     def exchange(self, a: int, b: int) -> bool:
-        """One change that fills ``a`` further out of the emptier ``b``; the largest gain that fits."""
+        """One change that fills ``a`` further out of the emptier ``b``: the largest gain of all moves, one for one, two for one and one for two.
+
+        Only sizes matter, and a bin holds few different ones: at most as many as numbers from 1 up sum to the capacity.
+        """
         size, room = self.size, self.room[a]
-        best: tuple[int, list[int], list[int]] | None = None
+        mine, theirs = _by_size(self.items[a], size), _by_size(self.items[b], size)
+        ours, others = sorted(mine), sorted(theirs)
+        best: tuple[int, tuple[int, ...], tuple[int, ...]] = (0, (), ())
 
-        def offer(out: list[int], back: list[int]) -> None:
+        def offer(sums: list[int], ways: dict[int, tuple[int, ...]] | None, back: int, given: tuple[int, ...]) -> None:
             nonlocal best
-            gain = sum(size[i] for i in out) - sum(size[i] for i in back)
-            if 0 < gain <= room and (best is None or gain > best[0]):
-                best = (gain, out, back)
-
-        mine, theirs = self.items[a], self.items[b]
-        for x in theirs:
-            offer([x], [])
-            for y in mine:
-                offer([x], [y])
-        if (best is None or best[0] < room) and len(mine) * len(theirs) * (len(mine) + len(theirs)) <= 4096:
-            for i, x in enumerate(theirs):
-                for z in theirs[i + 1 :]:
-                    for y in mine:
-                        offer([x, z], [y])
-            for i, y in enumerate(mine):
-                for w in mine[i + 1 :]:
-                    for x in theirs:
-                        offer([x], [y, w])
-        if best is None:
-            return False
+            at = bisect_right(sums, room + back) - 1
+            if at >= 0 and sums[at] - back > best[0]:
+                best = (sums[at] - back, ways[sums[at]] if ways else (sums[at],), given)
+
+        offer(others, None, 0, ())
+        for y in ours:
+            offer(others, None, y, (y,))
+        if best[0] < room:
+            pairs = _pairs(theirs)
+            sums = sorted(pairs)
+            for y in ours:
+                offer(sums, pairs, y, (y,))
+        if best[0] < room:
+            for back, given in _pairs(mine).items():
+                offer(others, None, back, given)
         gain, out, back = best
-        self.items[a] = [i for i in mine if i not in back] + out
-        self.items[b] = [i for i in theirs if i not in out] + back
+        if not gain:
+            return False
+        moved, given = [theirs[x].pop() for x in out], [mine[y].pop() for y in back]
+        self.items[a] = [i for i in self.items[a] if i not in given] + moved
+        self.items[b] = [i for i in self.items[b] if i not in moved] + given
         self.room[a] -= gain
         self.room[b] += gain
         return True
 
     def search(self, tries: int = 0) -> None:
-        """Empty the emptiest bins into the other underfull ones, while fewer bins are possible."""
-        tries = tries or max(20_000, 3 * len(self.size))
+        """Empty the emptiest bins into the other underfull ones, while fewer bins are possible. The tries grow with the items."""
+        tries = tries or EFFORT * len(self.size)
         least, open_bins = self.bound(), [b for b, r in enumerate(self.room) if r]
         open_bins.sort(key=lambda b: (-self.room[b], b))
         used = len(self.items)
@@ -146,6 +153,19 @@ class Bins:
         return [x for x in self.items if x]
 
 
+def _by_size(items: list[int], size: list[int]) -> dict[int, list[int]]:
+    out: dict[int, list[int]] = {}
+    for i in items:
+        out.setdefault(size[i], []).append(i)
+    return out
+
+
+def _pairs(by_size: dict[int, list[int]]) -> dict[int, tuple[int, int]]:
+    """The sums of two items, each with the two sizes."""
+    sizes = sorted(by_size)
+    return {x + z: (x, z) for k, x in enumerate(sizes) for z in sizes[k:] if x != z or len(by_size[x]) > 1}
+
+
 def pack_sizes(size: list[int], capacity: int = CAPACITY) -> list[list[int]]:
     bins = Bins(size, capacity)
     bins.best_fit()
@@ -155,7 +175,9 @@ def pack_sizes(size: list[int], capacity: int = CAPACITY) -> list[list[int]]:
 
 def _pack_level(level: int, last: bool, capacity: int):
     def pack(key: tuple, t: pa.Table) -> pa.Table:
-        t = t.sort_by([(c, "ascending") for c in ("doc_id", "piece", "start", "length", "ids_crc32")])
+        if t.num_rows >= 1 << BIN_BITS:
+            raise ValueError(f"a group of {t.num_rows} pieces: their numbers are not unique")
+        t = t.sort_by([(c, "ascending") for c in ("doc_id", "piece", "start", "length", "ids_crc32", "uid")])
         size = t["length"].to_pylist()
         seq, off = np.full(len(size), -1, np.int64), np.zeros(len(size), np.int64)
         group = key[0].as_py()
@@ -164,7 +186,7 @@ def _pack_level(level: int, last: bool, capacity: int):
                 continue
             at = 0
             for i in members:
-                seq[i], off[i] = (level << 58) | (group << BIN_BITS) | n, at
+                seq[i], off[i] = (level << BIN_BITS + GROUP_BITS) | (group << BIN_BITS) | n, at
                 at += size[i]
         return t.drop_columns(["salt"]).append_column("sequence_id", pa.array(seq)).append_column("offset", pa.array(off))
 
@@ -172,18 +194,18 @@ def _pack_level(level: int, last: bool, capacity: int):
 
 
 def place(found: DataFrame, capacity: int = CAPACITY, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """Adds sequence_id and offset to materialised pieces."""
+    """Adds sequence_id and offset to materialised pieces. Groups are dealt by a number that each row has, so rows that repeat fill none."""
     full = found.filter(F.col("length") == capacity)
     full = full.withColumns({"sequence_id": -1 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
-    todo, done, level = found.filter(F.col("length") < capacity), full, 0
+    todo, done, level = found.filter(F.col("length") < capacity).withColumn("uid", F.monotonically_increasing_id()), full, 0
     rows, last = todo.count(), False
     while True:
         groups = max(1, -(-rows // group_rows))
         last = last or groups == 1
-        salt = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", *([F.lit(level)] if level else [])), F.lit(groups))
-        out = todo.withColumn("salt", salt.cast("long")).groupBy("salt").applyInArrow(_pack_level(level, last, capacity), PIECES + ", sequence_id long, offset long")
+        salt = F.pmod(F.xxhash64("uid", F.lit(level)), F.lit(groups))
+        out = todo.withColumn("salt", salt.cast("long")).groupBy("salt").applyInArrow(_pack_level(level, last, capacity), PIECES + ", uid long, sequence_id long, offset long")
         out = materialize(out, f"packed-{level}")
-        done = done.unionByName(out.filter("sequence_id >= 0"))
+        done = done.unionByName(out.filter("sequence_id >= 0").drop("uid"))
         if last:
             return done
         todo = out.filter("sequence_id < 0").drop("sequence_id", "offset")

@@ -46,6 +46,18 @@ def sizes(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "source", "text").mapInArrow(count, "doc_id long, source string, size long")
 
 
+def numbered_rows(counted: DataFrame, many: int = GROUP_ROWS) -> DataFrame:
+    """Rows with the same identifier, source and size get a number (copy), so that each is dealt to a group of its own."""
+    same = counted.groupBy("doc_id", "source", "size").agg(F.count("*").alias("n"))
+    each = lambda d, low, high: d.withColumn("copy", F.explode(F.sequence(low, high)))
+    few = each(same.filter(F.col("n") <= many), F.lit(1).cast("long"), F.col("n"))
+    # one key may have a third of all rows: its numbers are dealt out in parts first
+    parts = same.filter(F.col("n") > many).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / many))))
+    parts = parts.repartition("doc_id", "source", "size", "part")
+    rest = each(parts, F.col("part") * many + 1, F.least(F.col("n"), (F.col("part") + 1) * many)).drop("part")
+    return few.unionByName(rest).drop("n")
+
+
 def targets(counted: DataFrame) -> DataFrame:
     """Per source: number (by code point, null last), n_docs, source_size, target.
 
@@ -148,7 +160,7 @@ def _round_level(level: int, seed: int, last: bool):
 
 def mix(docs: DataFrame, seed: int = 0, group_rows: int = GROUP_ROWS) -> DataFrame:
     """doc_id, source, size, source_size, target, copies, taken: one row per document."""
-    counted = materialize(sizes(docs), "sizes")
+    counted = materialize(numbered_rows(materialize(sizes(docs), "sizes")), "numbered-sizes")
     goal = materialize(targets(counted), "targets")
     g = goal.withColumnRenamed("source", "_source")
     rows = counted.join(g, counted["source"].eqNullSafe(g["_source"]))
@@ -157,7 +169,7 @@ def mix(docs: DataFrame, seed: int = 0, group_rows: int = GROUP_ROWS) -> DataFra
     whole = F.floor(F.col("ratio") + _EPS)
     groups = F.ceil(F.col("n_docs") / group_rows)
     state = rows.select(
-        "doc_id", "size", F.col("number").cast("long"), F.pmod(F.xxhash64("doc_id", F.lit(seed)), groups).cast("long").alias("bucket"),
+        "doc_id", "size", F.col("number").cast("long"), F.pmod(F.xxhash64("doc_id", "size", "copy", F.lit(seed)), groups).cast("long").alias("bucket"),
         whole.cast("long").alias("whole"), F.when(F.col("size") > 0, F.greatest(F.col("ratio") - whole, F.lit(0.0))).otherwise(F.lit(0.0)).alias("p"),
     )
     most = goal.agg(F.max(F.ceil(F.col("n_docs") / group_rows))).first()[0] or 1

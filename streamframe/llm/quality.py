@@ -21,8 +21,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import small_batches
+from .common import fresh, small_batches
 
 #: The symbols that count, and the six ASCII white-space characters.
 SYMBOLS = "#*$%&|<>"
@@ -138,15 +139,25 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), *cols], ["doc_id", *MEASURES])
 
 
+def _failed() -> Column:
+    """The bits of the rules that failed, from the measurements."""
+    failed = F.lit(0).cast("long")
+    for i, r in enumerate(RULES):
+        failed = failed.bitwiseOR(F.when(F.expr(r.fails), F.lit(1 << i)).otherwise(F.lit(0)).cast("long"))
+    return failed
+
+
 def ledger(docs: DataFrame) -> DataFrame:
     """doc_id, the measurements, and ``failed``: the bits of the rules that failed. One pass, no shuffle."""
     small_batches(docs.sparkSession)
     m = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_measured, "doc_id long, " + ", ".join(f"{x} long" for x in MEASURES))
-    bits = [F.when(F.expr(r.fails), F.lit(1 << i)).otherwise(F.lit(0)) for i, r in enumerate(RULES)]
-    failed = bits[0].cast("long")
-    for b in bits[1:]:
-        failed = failed.bitwiseOR(b.cast("long"))
-    return m.withColumn("failed", failed)
+    return m.withColumn("failed", _failed())
+
+
+def store(docs: DataFrame, path: str) -> DataFrame:
+    """Write the ledger of ``docs`` as a table at ``path`` and read it: policies and ablations to come never touch the texts again."""
+    ledger(docs).write.parquet(path)
+    return docs.sparkSession.read.parquet(path)
 
 
 def breaks(policy: Policy, failed: str = "failed") -> Column:
@@ -178,25 +189,20 @@ def ablation(book: DataFrame, policy: Policy) -> DataFrame:
 
 
 def accepted(docs: DataFrame, policy: Policy) -> DataFrame:
-    """The documents that the policy keeps, all columns as they came, in one pass over the texts and with no join."""
-    small_batches(docs.sparkSession)
-    names = [f for f in docs.columns if f in ("doc_id", "text")]
-    assert len(names) == 2
+    """The documents that the policy keeps, all columns as they came: the ledger's bits beside each row, in one pass and with no join."""
+    names = {m: fresh(docs.columns, m) for m in MEASURES}
     at = docs.columns.index("text")
-    mask, rules = policy.mask | mask_of(BASE), RULES
-    schema = docs.schema
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        checks = [compile(_python(r.fails), r.name, "eval") for i, r in enumerate(rules) if mask >> i & 1]
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            good = []
-            for t in b.column(at).to_pylist():
-                m = dict(zip(MEASURES, measure(t)))
-                good.append(not any(eval(c, {"__builtins__": {}}, m) for c in checks))
-            yield b.filter(pa.array(good, pa.bool_()))
-
-    return docs.mapInArrow(keep, schema)
+            rows = [measure(t) for t in b.column(at).to_pylist()]
+            cols = [pa.array(c, pa.int64()) for c in zip(*rows)] if rows else [pa.array([], pa.int64())] * len(MEASURES)
+            yield pa.RecordBatch.from_arrays([*b.columns, *cols], [*b.schema.names, *names.values()])
 
-
-def _python(rule: str) -> str:
-    return rule.replace(" AND ", " and ")
+    small_batches(docs.sparkSession)
+    book = docs.mapInArrow(measured, StructType([*docs.schema.fields, *(StructField(x, LongType()) for x in names.values())]))
+    kept = book.columns[: len(docs.columns)]
+    # the rules name the measurements: where a column clashes with one, both are renamed for the time of the test
+    inner = book.toDF(*[f"_{i}" for i in range(len(kept))], *MEASURES)
+    mask = F.lit(policy.mask | mask_of(BASE)).cast("long")
+    return inner.filter(_failed().bitwiseAND(mask) == 0).drop(*MEASURES).toDF(*kept)

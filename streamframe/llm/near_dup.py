@@ -15,8 +15,8 @@
 
 Defined results: a text of one to four words has one shingle, all of them; texts
 without words are equal and link to nothing else. Null text is empty text. Of a group
-the document with the largest doc_id stays. Rows that repeat a doc_id and its text
-stay or go together; exact deduplication removes them before. Extra columns are ignored, or
+the document with the largest doc_id stays, one of its texts where that id is repeated. Rows that repeat a doc_id and its text
+stay or go together; exact deduplication removes them before. Null doc_ids are the smallest. Extra columns are ignored, or
 passed on as they came; an empty table gives an empty result.
 """
 
@@ -156,7 +156,7 @@ def sketches(docs: DataFrame) -> DataFrame:
         parameters = _parameters()
         for b in batches:
             digest, n, sig, keys = [], [], [], []
-            for t in b.column(1).cast(pa.binary()).to_pylist():
+            for t in b.column(2).cast(pa.binary()).to_pylist():
                 s = shingles(t)
                 m = minhash(s, parameters)
                 digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest())
@@ -164,18 +164,23 @@ def sketches(docs: DataFrame) -> DataFrame:
                 sig.append(m.tobytes())
                 keys.append(band_keys(m).tolist() if len(s) else [])
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(digest, pa.string()), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                ["doc_id", "digest", "n", "signature", "keys"],
+                [b.column(0), b.column(1), pa.array(digest, pa.string()), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                ["doc_id", "row", "digest", "n", "signature", "keys"],
             )
 
     small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(sketch, "doc_id long, digest string, n long, signature binary, keys array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").select("doc_id", _row(), "text").mapInArrow(sketch, "doc_id long, row long, digest string, n long, signature binary, keys array<long>")
+
+
+def _row():
+    """What tells rows apart that share a doc_id, or have none."""
+    return F.xxhash64("doc_id", "text").alias("row")
 
 
 def classes_of(found: DataFrame) -> DataFrame:
-    """One row for each shingle set: node, digest, doc_id (the largest), n_copies, signature, keys."""
-    one = found.groupBy("digest").agg(F.max("doc_id").alias("doc_id"), F.count("*").alias("n_copies"), F.first("n").alias("n"), F.first("signature").alias("signature"), F.first("keys").alias("keys"))
-    return one.withColumn("node", F.monotonically_increasing_id())
+    """One row for each shingle set: node, digest, doc_id (the largest) and row of the one that stands for it, n_copies, signature, keys."""
+    one = found.groupBy("digest").agg(F.max(F.struct("doc_id", "row")).alias("own"), F.count("*").alias("n_copies"), F.first("n").alias("n"), F.first("signature").alias("signature"), F.first("keys").alias("keys"))
+    return one.select("digest", "own.doc_id", "own.row", "n_copies", "n", "signature", "keys").withColumn("node", F.monotonically_increasing_id())
 
 
 def candidates(classes: DataFrame) -> DataFrame:
@@ -189,17 +194,21 @@ _SETS = "node long, component long, blocks long, signature binary, shingles bina
 
 
 def member_sets(docs: DataFrame, members: DataFrame) -> DataFrame:
-    """The shingle sets of the candidate classes, from the text of a document of each."""
+    """The shingle sets of the candidate classes, from the text of a row of each; of rows that repeat, one in each task."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: set[int] = set()
         for b in batches:
+            new = [x not in met and not met.add(x) for x in b.column(2).to_pylist()]
+            b = b.filter(pa.array(new, pa.bool_()))
             found = [shingles(t) for t in b.column(0).cast(pa.binary()).to_pylist()]
             own = [hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest() == d for s, d in zip(found, b.column(1).to_pylist())]
             t = pa.RecordBatch.from_arrays([*b.columns[2:], pa.array([s.tobytes() for s in found], pa.binary())], ["node", "component", "blocks", "signature", "shingles"])
             yield t.filter(pa.array(own, pa.bool_()))
 
-    m = members.withColumnRenamed("doc_id", "_id")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(m, F.col("doc_id").eqNullSafe(F.col("_id")))
+    m = members.withColumnsRenamed({"doc_id": "_id", "row": "_row"})
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").select("doc_id", "text", _row())
+    rows = rows.join(m, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("row") == F.col("_row")))
     return rows.select("text", "digest", "node", "component", "blocks", "signature").mapInArrow(sets, _SETS)
 
 
@@ -280,19 +289,22 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLER
     near = materialize(candidates(classes), "candidates")
     # only components of more than one block are looked up: few, so most rows never move for it
     large = materialize(near.groupBy("component").agg(F.ceil(F.count("*") / block).alias("blocks")).filter("blocks > 1"), "large-components")
-    members = near.join(large, "component", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long"))).join(classes.select("node", "doc_id", "digest", "signature"), "node")
+    members = near.join(large, "component", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long"))).join(classes.select("node", "doc_id", "row", "digest", "signature"), "node")
     tasks = max(1, -(-near.count() // block))
     links = materialize(verified(member_sets(docs, members), threshold, tolerance, block, tasks), "links")
     group = components(links.filter("other IS NOT NULL").select("node", "other"), "node", "other")
     degree = links.filter("other IS NULL").groupBy("node").agg(F.sum("links").alias("n_links"))
-    own = classes.select("node", "digest", F.col("doc_id").alias("exact_id"), "n_copies").join(group, "node", "left").join(degree, "node", "left")
+    own = classes.select("node", "digest", F.col("doc_id").alias("exact_id"), "row", "n_copies").join(group, "node", "left").join(degree, "node", "left")
     own = own.withColumn("component", F.coalesce("component", "node"))
-    whole = own.groupBy("component").agg(F.max("exact_id").alias("class_id"), F.sum("n_copies").alias("group_size"))
-    named = own.join(whole, "component").select("digest", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "exact_id", "n_copies", "group_size")
-    return found.select("doc_id", "digest").join(named, "digest").select("doc_id", "class_id", "n_links", "exact_id", "n_copies", "group_size", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
+    whole = own.groupBy("component").agg(F.max(F.struct("exact_id", "row")).alias("stays"), F.sum("n_copies").alias("group_size"))
+    named = own.drop("row").join(whole, "component").select("digest", F.col("stays.exact_id").alias("class_id"), F.col("stays.row").alias("stays"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "exact_id", "n_copies", "group_size")
+    kept = F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("row") == F.col("stays"))
+    return found.select("doc_id", "row", "digest").join(named, "digest").select("doc_id", "class_id", "n_links", "exact_id", "n_copies", "group_size", kept.alias("kept"), "row")
 
 
 def survivors(docs: DataFrame) -> DataFrame:
     """The documents that stay, all columns as they came: one of each group."""
-    keep = materialize(join(docs).filter("kept").select(F.col("doc_id").alias("_id")), "near-kept").hint("merge")  # as many as documents: never broadcast, at any size
-    return docs.join(keep, docs["doc_id"].cast("long").eqNullSafe(keep["_id"]), "left_semi")
+    keep = join(docs).filter("kept").select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"))
+    keep = materialize(keep, "near-kept").hint("merge")  # as many as documents: never broadcast, at any size
+    row = F.xxhash64(docs["doc_id"].cast("long"), docs["text"])
+    return docs.join(keep, docs["doc_id"].cast("long").eqNullSafe(keep["_id"]) & (row == keep["_row"]), "left_semi")

@@ -1,12 +1,15 @@
 """Personal data by weak supervision.
 
-Candidate spans come from the strict patterns (the base) and from looser ones. Six
-labelers - patterns, value checks, gazetteers and context - vote on each candidate:
-for, against, or not at all. Votes are counted by kind, vote vector and shape, at most
-KINDS x 3^6 x SHAPES rows whatever the corpus, and expectation-maximisation over these
-counts estimates each labeler's reliability and each candidate's posterior. A logistic
-classifier, fitted to the posteriors over all counted candidates, decides. Base spans
-always stay; a decided span is added where it meets no base span of its kind.
+Candidate spans come from the strict patterns (the base) and from looser ones: addresses
+spelled out, numbers in other notations, numbers that fail a check, and secrets such as
+keys and passwords. Six labelers - patterns, value checks, gazetteers and context - vote on
+each candidate: for, against, or not at all. Votes are counted by kind, vote vector and
+shape, at most KINDS x 3^6 x SHAPES rows whatever the corpus, and expectation-maximisation
+over these counts estimates each labeler's reliability and each candidate's posterior. A
+logistic classifier of spans, over features of the characters and of the words around them
+and not over votes, is fitted to the posteriors of a bounded sample (SAMPLE candidates by
+hash) and decides. Base spans always stay; a decided span is added, a secret also around
+one, others where they meet none.
 
 Defined results: null or empty text has no spans. Offsets are code points, ends
 exclusive. Repeated rows are read each on its own; extra columns are ignored; an empty
@@ -15,8 +18,11 @@ table gives an empty result. Patterns run in linear time on texts of any length.
 
 from __future__ import annotations
 
-import hashlib
+import math
 import re
+import zlib
+from bisect import bisect_left, insort
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,9 +32,13 @@ from pyspark.sql import functions as F
 
 from .common import materialize, small_batches
 
-KINDS = ("email", "ip", "card", "phone")
+BASE = ("email", "ip", "card", "phone")
+KINDS = (*BASE, "secret")
 LABELERS = ("strict", "value", "gazetteer", "context", "edges", "layout")
 SHAPES = 4
+#: Candidates that the classifier is fitted to, at most, and the numbers of its hashed features.
+SAMPLE = 20_000
+FEATURES = 256
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -39,10 +49,14 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile("[0-9]")
 
 _LOOSE = {
-    "email": re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}(?: ?\[at\] ?| ?\(at\) ?| at )[A-Za-z0-9-]{1,63}(?:(?: ?\[dot\] ?| ?\(dot\) ?| dot |\.)[A-Za-z0-9-]{1,63}){1,5}", re.I),
-    "card": re.compile(r"(?<![0-9.])[0-9]{4}([._/\xa0])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}(?![0-9.])"),
+    "email": re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+-]*(?: ?\[at\] ?| ?\(at\) ?| at )[A-Za-z0-9-]+(?:(?: ?\[dot\] ?| ?\(dot\) ?| dot |\.)[A-Za-z0-9-]+)+", re.I),
+    "ip": re.compile(r"(?<![0-9.])[0-9]{1,3}(?:(?:\[\.\]|\(\.\)|\[dot\])[0-9]{1,3}){3}(?![0-9.])|(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])"),
+    "card": re.compile(r"(?<![0-9.])[0-9]{4}([._/\xa0])[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}(?![0-9.])|(?<![0-9])[0-9](?:[\x20-]?[0-9]){12,18}(?![0-9])"),
     "phone": re.compile(r"(?<![0-9+.\-])(?:00[1-9][0-9]{0,2}[\x20.-])?\(?0?[1-9][0-9]{1,3}\)?[\x20.-][0-9]{3,4}[\x20.-][0-9]{4}(?![0-9.\-])"),
+    "secret": re.compile(r"(?<![A-Za-z0-9_/+-])[A-Za-z0-9_/+-]{20,}={0,2}(?![A-Za-z0-9_/+-])"),
 }
+#: A value that is assigned to something named as a secret: the strict pattern of that kind.
+_ASSIGNED = re.compile(r"""(?i)(?<![a-z])(?:token|secret|pass(?:word|wd|phrase)?|pwd|api[_-]?key|access[_-]?key|private[_-]?key|credentials?|contraseña|passwort)["']?\x20?(?:=|:)\x20?["']?([^\s"'<>=]{6,})""")
 
 _AT = re.compile(r" ?\[at\]| ?\(at\)| at(?= )", re.I)
 # What the loose pattern's classes match without regard to case.
@@ -57,7 +71,11 @@ FOR = {
     "ip": ("ip", "host", "server", "address", "adresse", "login"),
     "card": ("card", "visa", "credit", "karte", "carte", "tarjeta", "payment"),
     "phone": ("phone", "call", "tel", "fax", "mobile", "cell", "anruf", "contact"),
+    "secret": ("token", "secret", "pass", "pwd", "key", "auth", "bearer", "credential", "login"),
 }
+#: How keys of well-known services begin, and the lengths of hexadecimal digests and keys.
+KEYS = ("AKIA", "ASIA", "ghp_", "gho_", "github_pat_", "sk-", "sk_live_", "pk_live_", "xox", "eyJ", "AIza", "glpat-")
+HEX_LENGTHS = (32, 40, 48, 56, 64, 96, 128)
 AGAINST = ("version", "isbn", "order", "invoice", "token", "serial", "doi", "release", "chapter", "section")
 
 
@@ -86,7 +104,7 @@ def emails(text: str) -> list[tuple[int, int]]:
 
 
 def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
-    found = {"email": emails(text) if "@" in text else [], "ip": [], "card": [], "phone": []}
+    found = {k: [] for k in BASE} | {"email": emails(text) if "@" in text else []}
     if not _DIGIT.search(text):
         return found
     for m in _IP.finditer(text):
@@ -106,7 +124,7 @@ def loose_emails(text: str) -> Iterator[tuple[int, int]]:
     end = 0
     for at in _AT.finditer(text):
         start = at.start()
-        while start > max(end, at.start() - 64) and text[start - 1] in _LOOSE_LOCAL:
+        while start > end and text[start - 1] in _LOOSE_LOCAL:
             start -= 1
         while start < at.start() and text[start] in "._%+-":
             start += 1
@@ -116,18 +134,50 @@ def loose_emails(text: str) -> Iterator[tuple[int, int]]:
             yield m.span()
 
 
-def loose_spans(text: str, base: dict[str, list[tuple[int, int]]]) -> list[tuple[str, int, int]]:
-    """Candidates of the looser patterns that meet no base span of any kind."""
-    taken = sorted(s for spans in base.values() for s in spans)
-    out = []
-    digits = _DIGIT.search(text) is not None
-    for kind, pattern in _LOOSE.items():
-        if kind != "email" and not digits:
-            continue
-        for s, e in loose_emails(text) if kind == "email" else (m.span() for m in pattern.finditer(text)):
-            if not any(a < e and s < b for a, b in taken):
-                out.append((kind, s, e))
-    return out
+class _Taken:
+    """Spans that do not overlap, with a test for one that meets any of them."""
+
+    def __init__(self, spans: list[tuple[int, int]]):
+        self.starts, self.ends = [], []
+        for s, e in sorted(spans):
+            if self.ends and s < self.ends[-1]:
+                self.ends[-1] = max(e, self.ends[-1])
+            else:
+                self.starts.append(s)
+                self.ends.append(e)
+
+    def add(self, start: int, end: int) -> bool:
+        """Takes the span, unless it meets another."""
+        k = bisect_left(self.starts, end)
+        if k and self.ends[k - 1] > start:
+            return False
+        insort(self.starts, start)
+        self.ends.insert(k, end)
+        return True
+
+
+def _loose(kind: str, text: str) -> Iterator[tuple[int, int, bool]]:
+    """Spans of the looser patterns, and whether a span's surroundings name its kind outright."""
+    if kind == "email":
+        yield from ((s, e, False) for s, e in loose_emails(text))
+        return
+    if kind == "secret":
+        yield from ((*m.span(1), True) for m in _ASSIGNED.finditer(text))
+    if kind == "secret" or _DIGIT.search(text):
+        yield from ((*m.span(), False) for m in _LOOSE[kind].finditer(text))
+
+
+def loose_spans(text: str, base: dict[str, list[tuple[int, int]]]) -> list[tuple[str, int, int, bool]]:
+    """Candidates of the looser patterns that meet each other nowhere: first secrets, which may hold a number, then those that meet no base span either."""
+    secrets = _Taken([])
+    out = [("secret", s, e, named) for s, e, named in _loose("secret", text) if secrets.add(s, e)]
+    taken = _Taken([s for spans in base.values() for s in spans] + [(s, e) for _, s, e, _ in out])
+    return out + [(kind, s, e, named) for kind in _LOOSE if kind != "secret" for s, e, named in _loose(kind, text) if taken.add(s, e)]
+
+
+def entropy(s: str) -> float:
+    """Bits per character."""
+    return -sum(n / len(s) * math.log2(n / len(s)) for n in Counter(s).values())
 
 
 def votes(kind: str, text: str, start: int, end: int, strict: bool) -> tuple[tuple[int, ...], int]:
@@ -138,24 +188,49 @@ def votes(kind: str, text: str, start: int, end: int, strict: bool) -> tuple[tup
         value = 1 if 1 < len(parts) <= 8 and len(s) <= 254 else -1
         gazetteer = 1 if parts[-1].rsplit("dot", 1)[-1] in TOP_LEVEL else -1
     elif kind == "ip":
-        first = s.split(".")[0]
-        value, gazetteer = 1, -1 if first in ("0", "127") else 1
+        parts = re.findall("[0-9]+", s)
+        value, gazetteer = (1 if ":" in s or all(int(p[-4:]) <= 255 for p in parts) else -1), -1 if parts and parts[0] in ("0", "127") else 1
     elif kind == "card":
         value, gazetteer = (1 if luhn(digits) else -1), (1 if digits.startswith(ISSUERS) else -1)
+    elif kind == "secret":
+        mixed = any(c.isdigit() for c in s) and any(c.isalpha() for c in s)
+        value = 1 if mixed and entropy(s[:256]) >= 3 else -1
+        gazetteer = 1 if s.startswith(KEYS) or len(s) in HEX_LENGTHS and not s.strip("0123456789abcdefABCDEF") else -1
     else:
         value = 1 if 9 <= len(digits) <= 15 else -1
         gazetteer = (1 if digits.startswith(CALLING) else -1) if s[0] == "+" or s.startswith("00") else 0
-    before = text[max(0, start - 40) : start].lower()
-    words = re.findall(r"\w+", before)
-    context = -1 if any(w in AGAINST for w in words) else 1 if any(w.startswith(FOR[kind]) for w in words) else 0
+    words = _around(text, start)
+    against = kind != "secret" and any(w in AGAINST for w in words)
+    context = -1 if against else 1 if any(w.startswith(FOR[kind]) for w in words) else 0
     left, right = text[start - 1 : start], text[end : end + 1]
     edges = -1 if left.isalnum() or right.isalnum() else 1
     seps = {c for c in s if not c.isalnum()}
-    layout = 1 if len(seps) <= 5 and len(s) <= 64 else -1
+    layout = 1 if len(seps) <= 5 and (8 <= len(s) <= 256 if kind == "secret" else len(s) <= 64) else -1
     shape = min(SHAPES - 1, len(seps))
     return (1 if strict else -1, value, gazetteer, context, edges, layout), shape
 
 
+def _around(text: str, start: int) -> list[str]:
+    return re.findall(r"\w+", text[max(0, start - 40) : start].lower())
+
+
+def features(kind: str, text: str, start: int, end: int) -> list[int]:
+    """Numbers of the features that a span has, hashed: its kind with its length, its kinds of characters, how it begins and
+    ends, whether its digits pass the checks, how even its characters are, and the words and characters around it."""
+    s, digits = text[start:end], _digits(text[start:end])
+    shape = re.sub(r"(.)\1+", r"\1", re.sub("[A-Z]", "A", re.sub("[a-z]", "a", re.sub("[0-9]", "9", s[:64]))))
+    words = _around(text, start)
+    n_letters = sum(map(str.isalpha, s))
+    seen = [
+        "", f"length {min(len(s), 64) // 4}", f"digits {min(len(digits), 32)}", f"letters {4 * n_letters // len(s)}", f"shape {shape[:12]}",
+        f"begins {s[:1] if not s[:1].isalnum() else 9 * s[:1].isdigit()}", f"luhn {bool(digits) and luhn(digits[-32:])}", f"entropy {round(2 * entropy(s[:256]))}",
+        f"hex {not s.strip('0123456789abcdefABCDEF')}", f"issuer {digits.startswith(ISSUERS)}", f"left {text[start - 1 : start]}", f"right {text[end : end + 1]}",
+        f"octets {all(int(p[-4:]) <= 255 for p in re.findall('[0-9]+', s))}", f"named {any(w.startswith(FOR[kind]) for w in words)}", f"against {any(w in AGAINST for w in words)}",
+    ]
+    seen += [f"word {w}" for w in words[-2:]]
+    return sorted({zlib.crc32(f"{kind} {x}".encode("utf-8", "surrogatepass")) % FEATURES for x in seen})
+
+
 def _pattern(kind: str, vote: tuple[int, ...], shape: int) -> int:
     n = KINDS.index(kind)
     for v in vote:
@@ -172,14 +247,14 @@ def pattern_of(n: int) -> tuple[int, tuple[int, ...], int]:
     return n, tuple(reversed(v)), shape
 
 
-_FOUND = "doc_id long, base array<struct<kind: int, start: long, end: long>>, candidates array<struct<kind: int, start: long, end: long, pattern: int, strict: boolean>>"
+_FOUND = "doc_id long, base array<struct<kind: int, start: long, end: long>>, candidates array<struct<kind: int, start: long, end: long, pattern: int, strict: boolean, features: array<int>>>"
 
 
 def candidates(docs: DataFrame) -> DataFrame:
     """Base spans and voted candidates of every whole text: one pass, no shuffle."""
 
     span = pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64())])
-    voted = pa.struct([*span, ("pattern", pa.int32()), ("strict", pa.bool_())])
+    voted = pa.struct([*span, ("pattern", pa.int32()), ("strict", pa.bool_()), ("features", pa.list_(pa.int32()))])
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -187,9 +262,12 @@ def candidates(docs: DataFrame) -> DataFrame:
             for t in b.column(1).to_pylist():
                 t = t or ""
                 own = base_spans(t)
-                base.append([{"kind": i, "start": s, "end": e} for i, k in enumerate(KINDS) for s, e in own[k]])
-                all_ = [(k, s, e, True) for k in KINDS for s, e in own[k]] + [(*x, False) for x in loose_spans(t, own)]
-                cand.append([{"kind": KINDS.index(k), "start": s, "end": e, "pattern": _pattern(k, *votes(k, t, s, e, strict)), "strict": strict} for k, s, e, strict in all_])
+                base.append([{"kind": i, "start": s, "end": e} for i, k in enumerate(BASE) for s, e in own[k]])
+                all_ = [(k, s, e, True, True) for k in BASE for s, e in own[k]] + [(k, s, e, named, False) for k, s, e, named in loose_spans(t, own)]
+                cand.append([
+                    {"kind": KINDS.index(k), "start": s, "end": e, "pattern": _pattern(k, *votes(k, t, s, e, named)), "strict": strict, "features": features(k, t, s, e)}
+                    for k, s, e, named, strict in all_
+                ])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(base, pa.list_(span)), pa.array(cand, pa.list_(voted))], ["doc_id", "base", "candidates"])
 
     small_batches(docs.sparkSession)
@@ -224,46 +302,41 @@ def reliabilities(patterns: list[int], counts: list[int], rounds: int = 100) ->
     return posterior, table
 
 
-def _features(patterns: list[int]) -> np.ndarray:
-    rows = []
-    for p in patterns:
-        kind, vote, shape = pattern_of(p)
-        own = [float(v == x) for v in vote for x in (-1, 1)]
-        rows.append([1.0, *(float(kind == k) for k in range(len(KINDS))), *own, *(float(shape == s) for s in range(SHAPES))])
-    return np.array(rows, float).reshape(len(patterns), -1)
-
-
-def classifier(patterns: list[int], counts: list[int], posterior: np.ndarray, ridge: float = 1.0, rounds: int = 50) -> np.ndarray:
-    """Weights of a logistic model fitted to the posteriors, each pattern weighed by the log of its count."""
-    x, n = _features(patterns), 1 + np.log(np.array(counts, float))
-    w = np.zeros(x.shape[1])
-    for _ in range(rounds):
+def classifier(seen: list[list[int]], posterior: np.ndarray, ridge: float = 1.0, rounds: int = 50) -> np.ndarray:
+    """Weights of a logistic model of spans' features, fitted to the posteriors."""
+    x = np.zeros((len(seen), FEATURES))
+    for i, f in enumerate(seen):
+        x[i, f] = 1
+    w = np.zeros(FEATURES)
+    for _ in range(rounds if len(seen) else 0):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -50, 50)))
-        grad = x.T @ (n * (p - posterior)) + ridge * w
-        step = np.linalg.solve((x * (n * p * (1 - p) + 1e-9)[:, None]).T @ x + ridge * np.eye(len(w)), grad)
+        step = np.linalg.solve((x * (p * (1 - p) + 1e-9)[:, None]).T @ x + ridge * np.eye(FEATURES), x.T @ (p - posterior) + ridge * w)
         w -= step
-        if np.abs(step).max() < 1e-8:
+        if np.abs(step).max() < 1e-6:
             break
     return w
 
 
-def train(found: DataFrame) -> dict[int, float]:
-    """P(personal) of every vote pattern that occurs; the counts gathered here are bounded by the number of patterns."""
+def train(found: DataFrame, sample: int = SAMPLE) -> np.ndarray:
+    """The classifier's weights. The counts gathered here are bounded by the number of vote patterns, the candidates by ``sample``."""
     counted = found.select(F.explode("candidates.pattern").alias("p")).groupBy("p").agg(F.count("*").alias("n")).collect()
     counted.sort()
     patterns, counts = [r[0] for r in counted], [r[1] for r in counted]
     if not patterns:
-        return {}
-    posterior, _ = reliabilities(patterns, counts)
-    p = 1 / (1 + np.exp(-_features(patterns) @ classifier(patterns, counts, posterior)))
-    return dict(zip(patterns, p.tolist()))
+        return np.zeros(FEATURES)
+    posterior = dict(zip(patterns, reliabilities(patterns, counts)[0].tolist()))
+    one = found.select("doc_id", F.explode("candidates").alias("c")).select("c.pattern", "c.features", F.xxhash64("doc_id", "c.start", "c.end").alias("h"))
+    share = min(1.0, sample / sum(counts))  # by hash, so that reruns agree; the limit only guards against equal rows
+    rows = one.filter(F.pmod("h", F.lit(1 << 30)) < int(share * (1 << 30))).drop("h").limit(2 * sample).collect() if share < 1 else one.drop("h").collect()
+    return classifier([r[1] for r in rows], np.array([posterior[r[0]] for r in rows]))
 
 
-def detect(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
+def detect(docs: DataFrame, threshold: float = 0.5, sample: int = SAMPLE) -> DataFrame:
     """doc_id, base and spans: arrays of (kind, start, end), by kind as listed, then start."""
     found = materialize(candidates(docs), "pii-candidates")
-    accepted = [p for p, x in train(found).items() if x >= threshold]
-    added = F.filter("candidates", lambda c: ~c["strict"] & (c["pattern"].isin(accepted) if accepted else F.lit(False)))
+    weights = F.array(*map(F.lit, train(found, sample).tolist()))
+    logit = lambda c: F.aggregate(c["features"], F.lit(0.0), lambda a, f: a + F.element_at(weights, f + 1))
+    added = F.filter("candidates", lambda c: ~c["strict"] & (logit(c) >= math.log(threshold / (1 - threshold))))
     spans = F.array_sort(F.concat("base", F.transform(added, lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end")))))
     return found.select("doc_id", "base", spans.alias("spans"))
 

@@ -101,15 +101,16 @@ def op4_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dup.join(read(spark, sf_dir, "documents"))
+    return near_dup.join(read(spark, sf_dir, "documents")).drop("row")
 
 
 @query
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.detect(read(spark, sf_dir, "documents"))
     return found.select(
-        "doc_id", *[pii.counted("base", k).alias(f"n_{k}") for k in pii.KINDS],
+        "doc_id", *[pii.counted("base", k).alias(f"n_{k}") for k in pii.BASE],
         F.sha2(pii.listed("base").cast("binary"), 256).alias("base_sha256"), pii.listed("spans").alias("spans"),
+        pii.counted("spans", "secret").alias("n_secret"), F.size("spans").cast("long").alias("n_spans"),
     )
 
 

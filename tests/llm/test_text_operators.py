@@ -58,6 +58,15 @@ def test_policies_differ_without_the_texts(spark):
     assert quality.accepted(docs, quality.POLICIES["v2"]).columns == docs.columns
 
 
+def test_accepted_rows_under_clashing_columns(spark, tmp_path):
+    rows = [(1, "kurz", 3, 4, 5), (2, " ".join(f"Wort{i} geht" for i in range(40)), 0, 1, 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_words long, N_LINES int, failed long")
+    out = quality.accepted(docs, quality.POLICIES["v2"])
+    assert out.columns == docs.columns and [tuple(r) for r in out.collect()] == rows[1:]
+    book = quality.store(docs, str(tmp_path / "ledger"))
+    assert quality.verdicts(book, quality.POLICIES["v1"]).filter("kept").count() == 1 and quality.ablation(book, quality.POLICIES["v2"]).count() == len(quality.RULES)
+
+
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
@@ -82,18 +91,21 @@ def test_base_spans_equal_the_patterns(text):
 
 def test_numbers_of_any_length_are_linear():
     assert pii.base_spans("1" * 200_000 + "." + "0" * 5000 + "7.1.1")["card"] == []
-    assert pii.base_spans("a" * 200_000 + "@") == {"email": [], "ip": [], "card": [], "phone": []}
+    assert pii.base_spans("a" * 200_000 + "@") == {"email": [], "ip": [], "card": [], "phone": []} and not pii.loose_spans("a" * 200_000 + "@ at", {})[1:]
 
 
 def test_pii_keeps_base_and_adds(spark):
     loose = [(100 + i, f"please call us at (0{30 + i}) 555-12{i:02d} today, or write: jane{i} [at] example [dot] com") for i in range(30)]
     texts = [(1, None), (2, ""), (3, "mail a.b@example.org or +1 (201) 555-0123, 10.0.0.1 and 4111 1111 1111 1111"), (3, "mail a.b@example.org or +1 (201) 555-0123, 10.0.0.1 and 4111 1111 1111 1111"), (4, "version 1.2.3.4444 and plain words"), (None, "x@y.zz")]
+    keys = [(200 + i, f'some words and token = "{hashlib.sha1(str(i).encode()).hexdigest()}" among others') for i in range(30)]
+    loose += [*keys, *((300 + i, f"the number {4111111111111112 + 10 * i} is no card, and averyveryverylongwordof{'letters' * (i % 5 + 1)} no secret") for i in range(30))]
     found = pii.detect(spark.createDataFrame(texts + loose, "doc_id long, text string")).select("doc_id", pii.listed("base").alias("base"), pii.listed("spans").alias("spans"))
     rows = {r.doc_id: r for r in found.collect()}
     assert found.count() == len(texts) + len(loose)
     assert rows[1].spans == rows[2].spans == rows[4].spans == ""
     assert rows[3].base == "email:5:20,ip:43:51,card:56:75,phone:24:41" and rows[None].base == "email:0:6"
     assert all(set(filter(None, r.base.split(","))) <= set(r.spans.split(",")) for r in rows.values())
+    assert all(f'secret:{t.index("= ") + 3}:' in rows[i].spans for i, t in keys)
     assert "phone:18:32" in rows[100].spans and "email:" in rows[100].spans and rows[100].base == ""
     assert pii.detect(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
@@ -106,7 +118,20 @@ def test_loose_emails_equal_their_pattern(text):
 
 @pytest.mark.parametrize("text", ["JANE [AT] EXAMPLE [DOT] COM", "Jane (At) Example (Dot) com", "jane at example.com", "jane AT example DOT com"])
 def test_spelled_out_emails_are_candidates_in_any_case(text):
-    assert pii.loose_spans(text, pii.base_spans(text)) == [("email", 0, len(text))]
+    assert pii.loose_spans(text, pii.base_spans(text)) == [("email", 0, len(text), False)]
+
+
+def test_many_spans_are_linear():
+    text = "call (030) 555-1200 or a@b.de " * 20_000
+    base = pii.base_spans(text)
+    assert len(base["email"]) == len(pii.loose_spans(text, base)) == 20_000
+
+
+def test_no_candidate_begins_or_ends_inside_a_word():
+    long = "x" * 500 + " at " + "y" * 300 + " dot " + ".".join(["z" * 70] * 9) + " dot com"
+    assert list(pii.loose_emails(long)) == [(0, len(long))]
+    for kind, s, e, _ in pii.loose_spans("key: " + "aB3" * 400 + " and " + "Zx9_" * 90 + "!", {k: [] for k in pii.BASE}):
+        assert kind == "secret" and (s, e) in ((5, 1205), (1210, 1570))
 
 
 def test_reliabilities_tell_labelers_apart():

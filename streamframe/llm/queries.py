@@ -153,12 +153,35 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
        sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
        (3 + sum(n))::BIGINT AS formatted_chars
 FROM e GROUP BY conv_id"""
+# A page's first canonical link and first refresh, as absolute addresses; nodes are host, path and query. Components are what the
+# edges reach, by a recursive query; a component passes on an allow before a block.
+_NODE_SQL = r"""CASE WHEN contains({0}, '://') AND regexp_extract(substr({0}, instr({0}, '://') + 3), '^[^/?#]*') <> '' THEN
+    translate(regexp_extract(substr({0}, instr({0}, '://') + 3), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')
+    || CASE WHEN regexp_extract(substr({0}, instr({0}, '://') + 3), '^[^/?#]*([^?#]*)', 1) = '' THEN '/' ELSE regexp_extract(substr({0}, instr({0}, '://') + 3), '^[^/?#]*([^?#]*)', 1) END
+    || regexp_extract({0}, '^[^?#]*(\?[^#]*)', 1) END"""
+_LINK_SQL = r"""regexp_extract(list_filter(regexp_extract_all(html, '(?is)<{0}\b[^>]*>'), lambda x: regexp_matches(x, '(?is)\b{1}') AND regexp_matches(x, '(?is)\b{2}'))[1], '(?is)\b{2}', 1)"""
+_Q, _VALUE = r"""["\x27]?""", r"""[^"\x27\s>]"""
+_CANONICAL_SQL = _LINK_SQL.format("link", rf"rel\s*=\s*{_Q}canonical\b", rf"href\s*=\s*{_Q}({_VALUE}+)")
+_REFRESH_SQL = _LINK_SQL.format("meta", rf"http-equiv\s*=\s*{_Q}refresh\b", rf"content\s*=\s*{_Q}[^\x22\x27>]*?url\s*=\s*{_Q}({_VALUE}+)")
 ORACLES["op8_url_filters"] = rf"""
-WITH rules(h, p, allow) AS (VALUES {_RULES_SQL}),
+WITH RECURSIVE rules(h, p, allow) AS (VALUES {_RULES_SQL}),
 x AS (
-  SELECT row_number() OVER () AS k, page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
-y AS (SELECT k, page_id, rest, regexp_extract(rest, '^([^/?#]*)', 1) AS raw FROM x),
-z AS (SELECT k, page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substr(rest, length(raw) + 1), '^([^?#]*)', 1) AS path FROM y),
-fit AS ({_FIT_SQL.format("z")})
-SELECT page_id, host, path, d.rule AS rule, CASE WHEN coalesce(d.allow, true) THEN 'allow' ELSE 'block' END AS verdict
-FROM z LEFT JOIN fit USING (k)"""
+  SELECT row_number() OVER () AS k, page_id, url, html, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+y AS (SELECT *, regexp_extract(rest, '^([^/?#]*)', 1) AS raw FROM x),
+z AS (SELECT k, page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substr(rest, length(raw) + 1), '^([^?#]*)', 1) AS path, {_NODE_SQL.format("url")} AS node FROM y),
+fit AS ({_FIT_SQL.format("z")}),
+links AS (SELECT url, replace(link, '&amp;', '&') AS link FROM (SELECT url, unnest([{_CANONICAL_SQL}, {_REFRESH_SQL}]) AS link FROM pages) WHERE link <> ''),
+whole AS (
+  SELECT url, CASE WHEN regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN link
+    WHEN starts_with(link, '//') THEN regexp_extract(url, '^([^?#]*?:)//', 1) || link
+    WHEN starts_with(link, '/') THEN regexp_extract(url, '^([^?#]*?://[^/?#]*)', 1) || link
+    WHEN regexp_extract(url, '^([^?#]*?://[^?#]*/)', 1) = '' THEN regexp_extract(url, '^([^?#]*?://[^/?#]*)', 1) || '/' || link
+    ELSE regexp_extract(url, '^([^?#]*?://[^?#]*/)', 1) || link END AS link FROM links),
+edge AS (SELECT DISTINCT a, b FROM (SELECT {_NODE_SQL.format("url")} AS a, {_NODE_SQL.format("link")} AS b FROM whole) WHERE a IS NOT NULL AND b IS NOT NULL AND a <> b),
+both_ways AS (SELECT a, b FROM edge UNION SELECT b, a FROM edge),
+reach(n, m) AS (SELECT a, a FROM both_ways UNION SELECT reach.n, both_ways.b FROM reach JOIN both_ways ON reach.m = both_ways.a),
+member AS (SELECT m AS k, regexp_extract(m, '^[^/?#]*') AS host, regexp_extract(m, '^[^/?#]*([^?#]*)', 1) AS path FROM (SELECT DISTINCT m FROM reach)),
+member_fit AS ({_FIT_SQL.format("member")}),
+passed AS (SELECT n AS node, bool_or(d.allow) AS passed FROM reach JOIN member_fit ON reach.m = member_fit.k GROUP BY n)
+SELECT page_id, host, path, d.rule AS rule, CASE WHEN coalesce(d.allow, passed, true) THEN 'allow' ELSE 'block' END AS verdict
+FROM z LEFT JOIN fit USING (k) LEFT JOIN passed USING (node)"""

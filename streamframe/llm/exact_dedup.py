@@ -1,18 +1,20 @@
 """Exact deduplication as a stateful stream.
 
 1. One pass fingerprints every whole text (A-Z lower-cased, SHA-256) into a small
-   table: identifier, digest, content locator (input file and row).
+   table: identifier, digest, content locator (file and place of the row in it, by
+   which it is found again). Rows that come from no file are written to one first.
 2. A Structured Streaming query reads that table and keeps, per digest and without
    expiry, the stable identifier of the row that stays, its locator and a count, in
    RocksDB state checkpointed to the shared folder. Rows are combined before the
    shuffle, so a digest that holds a third of all rows reaches its state task as a
-   few partial rows.
-3. Every hit is checked on its full bytes: texts whose digest occurs more than once
-   are compared, again combined before the shuffle. Digests that stand for more than
-   one text (none with SHA-256, many with a short digest) are resolved by the texts.
+   few partial rows. With a ``state`` folder given, a later run goes on from it.
+3. Every hit is checked on its full bytes: the rows whose digest occurs more than once
+   are read again by their locators and compared, combined before the shuffle. A digest
+   that stands for more than one text (none with SHA-256, many with a short digest) is
+   resolved by the texts themselves, numbered in byte order.
 
 Of equal texts the row with the largest doc_id stays (null is smallest; of rows that
-repeat a doc_id, the one met last in the fingerprint table). Null text is empty text. Extra
+repeat a doc_id, the one with the last locator). Null text is empty text. Extra
 columns are ignored, or passed on as they came; an empty table gives an empty result.
 """
 
@@ -22,9 +24,10 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.window import Window
 
 from .common import fresh, materialize, new_path, small_batches
 
@@ -46,8 +49,21 @@ def _texts(column: pa.Array) -> list[bytes]:
     return [normalized(t) for t in column.cast(pa.binary()).to_pylist()]
 
 
+def located(docs: DataFrame) -> DataFrame:
+    """``docs`` if its rows can be found again by file and place, else as a table that is."""
+    try:
+        docs.select(*_locator())
+        return docs
+    except AnalysisException:
+        return materialize(docs, "dedup-input")
+
+
+def _locator() -> list[Column]:
+    return [F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")]
+
+
 def fingerprints(docs: DataFrame, digest_bytes: int = 32) -> DataFrame:
-    """doc_id, digest, text_sha256, file, row: one row per document, no shuffle."""
+    """doc_id, digest, text_sha256, file, row of located documents: one row each, no shuffle."""
 
     def fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -56,18 +72,21 @@ def fingerprints(docs: DataFrame, digest_bytes: int = 32) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(1), cut, pa.array(full, pa.string()), b.column(2), b.column(3)], ["doc_id", "digest", "text_sha256", "file", "row"])
 
     small_batches(docs.sparkSession)
-    d = docs.select(F.col("text"), F.col("doc_id").cast("long"), F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("row"))
+    d = docs.select(F.col("text"), F.col("doc_id").cast("long"), *_locator())
     return d.mapInArrow(fingerprint, "doc_id long, digest string, text_sha256 string, file string, row long")
 
 
 def keyed_state(arrivals: DataFrame) -> DataFrame:
     """The state per digest of a stream (or batch) of fingerprints: who stays, where its content is, how many there are."""
-    return arrivals.groupBy("digest").agg(F.max(F.struct("doc_id", "row", "file")).alias("keeper"), F.count("*").alias("group_size"))
+    return arrivals.groupBy("digest").agg(F.max(F.struct("doc_id", "file", "row")).alias("keeper"), F.count("*").alias("group_size"))
 
 
-def stream_state(spark: SparkSession, path: str, schema, files_per_trigger: int = 10_000) -> DataFrame:
-    """Run the stateful query over the table at ``path`` to its end; return the last state of each digest."""
-    work = new_path(spark, "dedup-state")
+def stream_state(spark: SparkSession, path: str, schema, files_per_trigger: int = 10_000, state: str | None = None) -> DataFrame:
+    """Run the stateful query over the table at ``path`` to its end; return the last state of each digest.
+
+    With ``state``, a folder in shared storage, a later call reads only the files that came to ``path`` since and goes on from that state.
+    """
+    work = state or new_path(spark, "dedup-state")
     store = "spark.sql.streaming.stateStore"
     # many small stores: changelogs instead of whole snapshots, and no space allocated ahead
     names = {f"{store}.providerClass": ROCKSDB, f"{store}.rocksdb.changelogCheckpointing.enabled": "true", f"{store}.rocksdb.allowFAllocate": "false"}
@@ -88,10 +107,10 @@ def stream_state(spark: SparkSession, path: str, schema, files_per_trigger: int
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-    state = "digest string, keeper struct<doc_id: long, row: long, file: string>, group_size long, batch int"
+    kept = "digest string, keeper struct<doc_id: long, file: string, row: long>, group_size long"
     if not _exists(spark, f"{work}/changes"):
-        return spark.createDataFrame([], state).drop("batch")
-    changes = spark.read.schema(state).parquet(f"{work}/changes")
+        return spark.createDataFrame([], kept)
+    changes = spark.read.schema(f"{kept}, batch int").parquet(f"{work}/changes")
     return changes.groupBy("digest").agg(F.max_by("keeper", "batch").alias("keeper"), F.max("group_size").alias("group_size"))
 
 
@@ -100,8 +119,8 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
-def texts_by_digest(docs: DataFrame, digest_bytes: int) -> DataFrame:
-    """digest, body: every text at least once; copies that a task has met lately are left out."""
+def hit_texts(docs: DataFrame, hits: DataFrame, digest_bytes: int) -> DataFrame:
+    """digest, body of the hits' rows (file, row): every different text at least once; copies that a task has met lately are left out."""
 
     def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         recent: dict[str, bytes] = {}
@@ -120,58 +139,54 @@ def texts_by_digest(docs: DataFrame, digest_bytes: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.binary())], ["digest", "body"])
 
     small_batches(docs.sparkSession)
-    return docs.select("text").mapInArrow(combine, "digest string, body binary")
+    rows = docs.select("text", *_locator()).join(hits.select("file", "row"), ["file", "row"], "left_semi")
+    return rows.select("text").mapInArrow(combine, "digest string, body binary")
 
 
-def conflicts(docs: DataFrame, hits: DataFrame, digest_bytes: int) -> DataFrame:
-    """The digests among ``hits`` whose texts are not all the same bytes."""
-    texts = texts_by_digest(docs, digest_bytes).join(hits, "digest", "left_semi")
+def conflicts(texts: DataFrame) -> DataFrame:
+    """The digests whose texts are not all the same bytes."""
     return texts.groupBy("digest").agg(F.min("body").alias("a"), F.max("body").alias("b")).filter("a <> b").select("digest")
 
 
 def deduplicate(docs: DataFrame, digest_bytes: int = 32) -> DataFrame:
-    """Per document: doc_id, keep_id, group_size, kept, text_sha256, digest, and the locator of the row that stays."""
+    """Per document: doc_id, keep_id, group_size, kept, text_sha256, digest, and the locators of the row that stays and of its own."""
     spark = docs.sparkSession
+    docs = located(docs)
     prints = materialize(fingerprints(docs, digest_bytes), "fingerprints")
     path = prints.inputFiles()[0].rsplit("/", 1)[0] if prints.inputFiles() else None
-    state = materialize(stream_state(spark, path, prints.schema), "dedup-groups") if path else spark.createDataFrame([], "digest string, keeper struct<doc_id: long, row: long, file: string>, group_size long")
-    hits = state.filter("group_size > 1").select("digest")
-    clash = materialize(conflicts(docs, hits, digest_bytes), "dedup-conflicts")
+    state = materialize(stream_state(spark, path, prints.schema), "dedup-groups") if path else spark.createDataFrame([], "digest string, keeper struct<doc_id: long, file: string, row: long>, group_size long")
+    hits = prints.join(state.filter("group_size > 1").select("digest"), "digest", "left_semi")
+    clash = materialize(conflicts(hit_texts(docs, hits, digest_bytes)), "dedup-conflicts")
     if not clash.isEmpty():
-        prints, state = _by_text(docs, prints, state, clash, digest_bytes)
+        prints, state = _by_text(docs, prints, state, clash)
     joined = prints.join(state, "digest")
+    kept = (F.col("row") == F.col("keeper.row")) & (F.col("file") == F.col("keeper.file"))
     return joined.select(
-        "doc_id", F.col("keeper.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("keeper.row")).alias("kept"), "text_sha256",
-        "digest", F.col("keeper.file").alias("keep_file"), F.col("keeper.row").alias("keep_row"),
+        "doc_id", F.col("keeper.doc_id").alias("keep_id"), "group_size", kept.alias("kept"), "text_sha256",
+        "digest", F.col("keeper.file").alias("keep_file"), F.col("keeper.row").alias("keep_row"), "file", "row",
     )
 
 
-def _by_text(docs: DataFrame, prints: DataFrame, state: DataFrame, clash: DataFrame, digest_bytes: int) -> tuple[DataFrame, DataFrame]:
-    """Digests that stand for several texts get the number of the text appended, numbered per digest in byte order."""
-    texts = texts_by_digest(docs, digest_bytes).join(clash, "digest", "left_semi").distinct()
-    full = texts.withColumn("text_sha256", F.sha2("body", 256))
-    again = prints.join(clash, "digest", "left_semi").join(full, ["digest", "text_sha256"])
-    again = again.withColumn("digest", F.concat_ws(":", "digest", "text_sha256")).select(prints.columns)
-    prints = materialize(prints.join(clash, "digest", "left_anti").unionByName(again), "fingerprints")
+def _by_text(docs: DataFrame, prints: DataFrame, state: DataFrame, clash: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Digests that stand for several texts get the number of the text appended: its place among them in byte order."""
+    again = prints.join(clash, "digest", "left_semi")
+    lower = F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    bodies = docs.select(lower.cast("binary").alias("body"), *_locator()).join(again, ["file", "row"])
+    bodies = materialize(bodies, "dedup-clashing")
+    texts = bodies.select("digest", "body").distinct()
+    number = F.row_number().over(Window.partitionBy("digest").orderBy("body"))
+    numbered = bodies.join(texts.withColumn("number", number), ["digest", "body"])
+    numbered = numbered.withColumn("digest", F.concat_ws(":", "digest", "number")).select(prints.columns)
+    prints = materialize(prints.join(clash, "digest", "left_anti").unionByName(numbered), "fingerprints")
     own = keyed_state(prints.filter(F.col("digest").contains(":")))
     return prints, materialize(state.join(clash, "digest", "left_anti").unionByName(own), "dedup-groups")
 
 
 def survivors(docs: DataFrame, digest_bytes: int = 32) -> DataFrame:
-    """The rows that stay, with all columns as they came."""
-    found = deduplicate(docs, digest_bytes)
-    keep = materialize(found.filter("kept").select("doc_id", "text_sha256"), "dedup-kept")
-    repeated = found.filter("NOT kept AND doc_id <=> keep_id").select("doc_id").limit(1)
-    at, sha = docs.columns.index("text"), fresh(docs.columns, "_sha")
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            full = pa.array([hashlib.sha256(t).hexdigest() for t in _texts(b.column(at))], pa.string())
-            yield pa.RecordBatch.from_arrays([*b.columns, full], [*b.schema.names, sha])
-
-    small_batches(docs.sparkSession)
-    marked = docs.mapInArrow(add, StructType([*docs.schema.fields, StructField(sha, StringType())]))
-    out = marked.join(keep.hint("merge"), marked["doc_id"].cast("long").eqNullSafe(keep["doc_id"]) & (marked[sha] == keep["text_sha256"]), "left_semi")
-    if not repeated.isEmpty():
-        out = out.dropDuplicates(["doc_id", sha])
-    return out.drop(sha)
+    """The rows that stay, with all columns as they came: read again by their locators."""
+    docs = located(docs)
+    file, row = fresh(docs.columns, "_file"), fresh(docs.columns, "_row")
+    keep = deduplicate(docs, digest_bytes).filter("kept").select(F.col("file").alias(file), F.col("row").alias(row))
+    keep = materialize(keep, "dedup-kept").hint("merge")  # as many as documents: never broadcast, at any size
+    at = [c.alias(n) for c, n in zip(_locator(), (file, row))]
+    return docs.select("*", *at).join(keep, [file, row], "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -52,8 +52,37 @@ def test_exact_dedup(spark, digest_bytes):
     assert left.columns == docs.columns and left.count() == len(groups)
 
 
+def test_a_digest_of_several_texts_is_told_apart_by_bytes(spark, monkeypatch):
+    # every text gets one digest, the whole SHA-256 too
+    monkeypatch.setattr(exact_dedup, "digest_of", lambda text, n: "00")
+    real = exact_dedup.fingerprints
+    monkeypatch.setattr(exact_dedup, "fingerprints", lambda d, n: real(d, n).withColumns({"digest": exact_dedup.F.lit("00"), "text_sha256": exact_dedup.F.lit("00")}))
+    rows = COPIES + [(100 + i, f"t{i % 9}", "s") for i in range(90)]
+    got = exact_dedup.deduplicate(spark.createDataFrame(odd(rows), DOCS).repartition(4)).collect()
+    sizes = Counter(r.group_size for r in got if r.kept)
+    assert sizes == Counter(len(v) for v in brute_groups(rows).values()) and len(got) == len(rows)
+
+
+def test_rows_are_found_again_by_their_locators(spark, tmp_path):
+    spark.createDataFrame([(i, f"t{i % 20}") for i in range(200)], "doc_id long, text string").repartition(5).write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    got = exact_dedup.deduplicate(docs)
+    place = docs.select("doc_id", *exact_dedup._locator())
+    assert got.filter("kept").count() == 20 == got.join(place, (got.keep_file == place.file) & (got.keep_row == place.row) & (got.keep_id == place.doc_id)).filter("kept").count()
+
+
+def test_state_outlives_a_run(spark, tmp_path):
+    path, state = str(tmp_path / "p"), str(tmp_path / "state")
+    for first, n in ((0, 10), (1000, 25)):
+        docs = exact_dedup.located(spark.createDataFrame([(first + i, f"t{i % 5}") for i in range(n)], "doc_id long, text string"))
+        prints = exact_dedup.fingerprints(docs)
+        prints.write.mode("append").parquet(path)
+        got = {r.digest: (r.group_size, r.keeper.doc_id) for r in exact_dedup.stream_state(spark, path, prints.schema, state=state).collect()}
+        assert sorted(got.values()) == ([(2, 5 + i) for i in range(5)] if not first else [(7, 1020 + i) for i in range(5)])
+
+
 def test_state_goes_on_over_several_batches(spark, tmp_path):
-    prints = exact_dedup.fingerprints(spark.createDataFrame([(i, f"t{i % 7}") for i in range(70)], "doc_id long, text string").repartition(6))
+    prints = exact_dedup.fingerprints(exact_dedup.located(spark.createDataFrame([(i, f"t{i % 7}") for i in range(70)], "doc_id long, text string").repartition(6)))
     prints.write.parquet(str(tmp_path / "p"))
     state = exact_dedup.stream_state(spark, str(tmp_path / "p"), prints.schema, files_per_trigger=1).collect()
     assert len(state) == 7 and all(r.group_size == 10 and r.keeper.doc_id >= 63 for r in state)

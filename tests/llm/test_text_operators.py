@@ -277,6 +277,56 @@ def test_url_rules_and_aliases(spark):
     assert url_filter.judge(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def url_rows(rng):
+    hosts = ["a.com", "b.example.com", "c.net", "x.example.net", "d.org", "plain.test", "Other.test"]
+    urls = [f"http://{rng.choice(hosts)}/{rng.choice(['en', 'de', 'es', 'p'])}/{rng.randrange(6, 9)}{rng.choice(['', '?q=1', '#f'])}" for _ in range(120)]
+    links = ['<link rel="canonical" href="{}">', "<LINK href='{}' rel=canonical>", '<meta http-equiv="refresh" content="0; url={}">', "<p>{}</p>"]
+    rows = [(i, u, rng.choice(links).format(rng.choice([*urls, "/en/7", "9", "//c.net/p/1"])) if rng.random() < 0.4 else "") for i, u in enumerate(urls)]
+    return rows + [(500, None, "x"), (501, "no scheme", None), (502, "http://h.test", links[0].format("?z=1&amp;y=2")), (502, "http://h.test", "")]
+
+
+def test_alias_verdicts_equal_brute_force_and_sql(spark, tmp_path):
+    import duckdb
+    from pyspark.sql import functions as F
+    from streamframe.llm.queries import ORACLES
+
+    rng = random.Random(17)
+    for k in range(3):
+        rows = url_rows(rng)
+        pages = spark.createDataFrame([(*r, 1, "d", 2) for r in rows], "page_id long, url string, html string, host int, d string, node long")
+        got = sorted(map(tuple, url_filter.judge(pages).collect()), key=str)
+        edges = [tuple(r) for r in url_filter.edges(pages).collect()]
+        node = {r.page_id: (r.n, r.h, r.p) for r in pages.select("page_id", url_filter.node(F.col("url")).alias("n"), *[c.alias(x) for x, c in zip("hp", url_filter.parts(F.col("url")))]).collect()}
+        near = {}
+        for a, b in edges:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+
+        def rule(host, path):
+            fits = [r for r in url_filter.RULES if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
+            return max(fits, key=lambda r: len(r.text), default=None)
+
+        def verdict(n, host, path):
+            own = rule(host, path)
+            if own:
+                return own.allow
+            todo, seen = [n], {n}
+            while todo:
+                for m in near.get(todo.pop(), ()):
+                    if m not in seen:
+                        seen.add(m)
+                        todo.append(m)
+            allows = [r.allow for m in seen if m in near for r in [rule(re.split("[/?]", m)[0], "/" + m.partition("/")[2].split("?")[0])] if r]
+            return max(allows, default=True)
+
+        want = [(i, node[i][1], node[i][2], getattr(rule(*node[i][1:]), "text", None), "allow" if verdict(*node[i]) else "block") for i, *_ in rows]
+        assert got == sorted(want, key=str)
+        con = duckdb.connect()
+        pages.select("page_id", "url", "html").write.parquet(str(tmp_path / f"p{k}"))
+        con.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/p{k}/*.parquet'")
+        assert sorted(con.sql(ORACLES["op8_url_filters"]).fetchall(), key=str) == got
+
+
 @pytest.mark.parametrize("url, host, path", [("HTTP://A.b:80/c/d?e#f", "a.b:80", "/c/d"), ("x://y", "y", ""), ("a://b://c/d", "b:", "//c/d"), ("http://h?q", "h", ""), ("", "", ""), ("://h/#p", "h", "/")])
 def test_url_parts(spark, url, host, path):
     from pyspark.sql import functions as F

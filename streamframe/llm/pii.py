@@ -161,7 +161,7 @@ def _loose(kind: str, text: str) -> Iterator[tuple[int, int, bool]]:
     if kind == "email":
         yield from ((s, e, False) for s, e in loose_emails(text))
         return
-    if kind == "secret":
+    if kind == "secret" and ("=" in text or ":" in text):
         yield from ((*m.span(1), True) for m in _ASSIGNED.finditer(text))
     if kind == "secret" or _DIGIT.search(text):
         yield from ((*m.span(), False) for m in _LOOSE[kind].finditer(text))

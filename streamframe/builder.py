@@ -192,7 +192,7 @@ class Stream:
     """A built pipeline: start, stop, status, branches and stores."""
 
     def __init__(self, builder: StreamBuilder):
-        self._b, self._query, self._running, self._listener = builder, None, False, None
+        self._b, self._queries, self._running, self._listener = builder, [], False, None
 
     @property
     def name(self) -> str:
@@ -205,7 +205,7 @@ class Stream:
 
     @property
     def status(self) -> str:
-        live = self._query.isActive if self._query is not None else self._running
+        live = any(q.isActive for q in self._queries) if self._queries else self._running
         return "Running" if live else "Stopped"
 
     def _outputs(self) -> list[tuple[StreamBuilder, Sink]]:
@@ -217,10 +217,10 @@ class Stream:
         return out
 
     def start(self, checkpoint: str | None = None, output_mode: str = "append", trigger: Mapping[str, Any] | None = None) -> Stream:
-        """Batch: run every sink over its plan. Stream: one query for the main path, into its sinks.
+        """Batch: run every sink over its plan. Stream: a query for the main path into its sinks, and one for each branch.
 
-        Branches of a stream run inside that query, from one read of the source, when the
-        main path has no step before them that keeps state (see :mod:`streamframe.streaming`).
+        Each query reads the source for itself and has a checkpoint of its own below
+        ``checkpoint``; :func:`streamframe.streaming.fanout.fan_out` reads it once for all.
         """
         if self.status == "Running":
             raise RuntimeError("the stream runs already")
@@ -238,21 +238,29 @@ class Stream:
             if self._b.metrics and self._b.metrics.provider and outputs:
                 self._b.metrics.report()
             return self
-        if self._b.branches:
-            raise RuntimeError("a stream with branches runs by streamframe.streaming.fan_out, which reads the source once")
         if self._b.metrics and self._b.metrics.provider:
             self._listener = ProgressListener(self._b.metrics.provider)
             df.sparkSession.streams.addListener(self._listener)
-        writer = df.writeStream.queryName(self._b.name.replace(".", "_")).outputMode(output_mode)
-        writer = writer.foreachBatch(lambda batch, _: [s(batch) for s in self._b.sinks] and None)
-        if checkpoint:
-            writer = writer.option("checkpointLocation", checkpoint)
-        self._query = writer.trigger(**(trigger or {"processingTime": "0 seconds"})).start()
+        paths, todo = [], [self._b]
+        while todo:
+            b = todo.pop(0)
+            paths.append(b)
+            todo += b.branches.values()
+        self._queries = []
+        for b in paths:
+            if b is not self._b and not b.sinks:
+                continue
+            writer = b.df.writeStream.queryName(b.name.replace(".", "_")).outputMode(output_mode)
+            writer = writer.foreachBatch(lambda batch, _, sinks=b.sinks: [s(batch) for s in sinks] and None)
+            if checkpoint:
+                writer = writer.option("checkpointLocation", checkpoint if len(paths) == 1 else f"{checkpoint.rstrip('/')}/{b.name}")
+            self._queries.append(writer.trigger(**(trigger or {"processingTime": "0 seconds"})).start())
         return self
 
     @property
     def query(self) -> StreamingQuery | None:
-        return self._query
+        """The main path's query."""
+        return self._queries[0] if self._queries else None
 
     def emit(self, rows: Iterable[Any]) -> None:
         """Hand rows to an in-memory source; a stream with another source, or one not started, refuses them."""
@@ -261,13 +269,14 @@ class Stream:
         if self.status != "Running":
             raise RuntimeError("the stream is not started")
         self._b.emitter.emit(rows)
-        self._query.processAllAvailable()
+        for q in self._queries:
+            q.processAllAvailable()
 
     def stop(self) -> None:
-        if self._query is not None:
-            self._query.stop()
-            if self._listener is not None:
-                self._b.df.sparkSession.streams.removeListener(self._listener)
+        for q in self._queries:
+            q.stop()
+        if self._queries and self._listener is not None:
+            self._b.df.sparkSession.streams.removeListener(self._listener)
         self._running = False
 
     @property

@@ -105,11 +105,11 @@ def group_by_final(spark, sf_dir):
     return s.map("user_id", ids=F.array_join("v", ",")).build().result
 
 
-@query("SELECT event_id, user_id, string_agg(event_id::VARCHAR, ',') OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS seen FROM events WHERE event_type = 'error'")
+@query("SELECT event_id, user_id, count(*) OVER w AS n, md5(string_agg(event_id::VARCHAR, ',') OVER w) AS seen FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)")
 def group_by_changelog(spark, sf_dir):
-    """The list after each row."""
-    s = _start(spark, sf_dir, "events").filter("event_type = 'error'").group_by(["user_id", "event_type"], F.col("event_id"), ["ts", "event_id"], "changelog", "v")
-    return s.map("event_id", "user_id", seen=F.array_join("v", ",")).build().result
+    """The list after each row: its length and a digest."""
+    s = _start(spark, sf_dir, "events").group_by("user_id", F.col("event_id"), ["ts", "event_id"], "changelog", "v")
+    return s.map("event_id", "user_id", n=F.size("v").cast("long"), seen=F.md5(F.array_join("v", ",").cast("binary"))).build().result
 
 
 @query("SELECT event_id, user_id FROM events")

@@ -11,9 +11,11 @@ _LOCAL: dict[str, str] = {}
 
 
 def work_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below ``spark.checkpoint.dir``; a temporary folder only where that is unset (local tests)."""
+    """A fresh path below ``spark.checkpoint.dir``; a temporary folder where that is unset and the master is local."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         if app not in _LOCAL:
             _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="streamframe-")

@@ -59,6 +59,10 @@ class RabbitClient:
         for h in handles:
             self.channel.basic_ack(h)
 
+    def abandon(self, handles: Sequence[int]) -> None:
+        for h in handles:
+            self.channel.basic_nack(h, requeue=True)
+
     def send(self, messages: Sequence[str]) -> None:
         for m in messages:
             self.channel.basic_publish("", self.queue, m.encode(), self._properties)
@@ -93,6 +97,10 @@ class PulsarClient:
         for h in handles:
             self._consumer.acknowledge(h)
 
+    def abandon(self, handles: Sequence[Any]) -> None:
+        for h in handles:
+            self._consumer.negative_acknowledge(h)
+
     def send(self, messages: Sequence[str]) -> None:
         if self._producer is None:
             self._producer = self.client.create_producer(self.topic)
@@ -119,6 +127,10 @@ class ServiceBusQueue:
         for h in handles:
             self.receiver.complete_message(h)
 
+    def abandon(self, handles: Sequence[Any]) -> None:
+        for h in handles:
+            self.receiver.abandon_message(h)
+
     def send(self, messages: Sequence[str]) -> None:
         self.sender.send_messages([self._message(m, subject=self.subject) for m in messages])
 

@@ -220,16 +220,27 @@ def http_source(spark: SparkSession, url: str, schema: str, **options: str) -> D
     return reader.load().select(codecs.from_json_any_case(F.col("value"), StructType.fromDDL(schema)).alias("r")).select("r.*")
 
 
-def queue_source(name: str, client: Client, batch: int = 10) -> type[PolledSource]:
-    """A data source over a queue: ``client().receive(n)`` gives (handle, body) pairs, ``client().delete(handles)`` acknowledges them.
+def queue_source(name: str, client: Client, batch: int = 10, check: Callable[[str], Any] | None = None) -> type[PolledSource]:
+    """A data source over a queue: a client's ``receive(n)`` gives (handle, body) pairs, its ``delete(handles)`` acknowledges them.
 
     Register the class with ``spark.dataSource.register`` and read ``format(name)``;
-    messages are deleted once the micro-batch that holds them is committed.
+    messages are deleted once the micro-batch that holds them is committed. Handles belong
+    to the client that received them, so each reader has one client for its life. Where
+    ``check`` raises on a body, all that was received with it goes back by the client's
+    ``abandon(handles)``, if it has one, and the query fails.
     """
 
     class QueueSource(PolledSource):
-        pending: dict[int, list[Any]] = {}
-        bodies: dict[int, list[tuple]] = {}
+        def __init__(self, options: dict):
+            super().__init__(options)
+            self.held, self.pending, self.bodies = None, {}, {}
+
+        def __getstate__(self) -> dict:
+            return {**self.__dict__, "held": None, "pending": {}, "bodies": {}}
+
+        def _client(self) -> Any:
+            self.held = self.held or client()
+            return self.held
 
         @classmethod
         def name(cls) -> str:
@@ -239,7 +250,14 @@ def queue_source(name: str, client: Client, batch: int = 10) -> type[PolledSourc
             return "value string"
 
         def poll(self, offset: dict) -> tuple[list[tuple], dict]:
-            got = client().receive(batch)
+            got = self._client().receive(batch)
+            try:
+                for _, body in got if check else ():
+                    check(body)
+            except Exception:
+                if hasattr(self._client(), "abandon"):
+                    self._client().abandon([h for h, _ in got])
+                raise
             end = offset["position"] + len(got)
             if got:
                 self.pending[end] = [h for h, _ in got]
@@ -253,7 +271,7 @@ def queue_source(name: str, client: Client, batch: int = 10) -> type[PolledSourc
 
         def acknowledge(self, offset: dict) -> None:
             for at in [a for a in self.pending if a <= offset["position"]]:
-                client().delete(self.pending.pop(at))
+                self._client().delete(self.pending.pop(at))
                 self.bodies.pop(at, None)
 
     return QueueSource

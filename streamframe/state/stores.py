@@ -161,22 +161,31 @@ class VersionedStore:
     """Append-only Parquet of (key, value, version, deleted); the newest version of a key is its value.
 
     Upserts and deletes append; reads take the newest row per key in one aggregate;
-    ``compact`` rewrites only the newest rows into a new generation.
+    ``compact`` rewrites only the newest rows into a new generation; the last whole
+    generation in the folder counts, whoever opens it. One writer at a time.
     """
 
     def __init__(self, spark: SparkSession, path: str, schema: str | StructType, key: str, name: str | None = None):
         self.spark, self.path, self.key, self.name = spark, path, key, name or path.rstrip("/").rsplit("/", 1)[-1]
         self.schema = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
         self._full = StructType([*self.schema.fields]).add("_version", "long").add("_deleted", "boolean")
-        self._generation = 0
 
     def _exists(self, path: str) -> bool:
         p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
+    def _last(self) -> int:
+        """The last generation that a compaction has finished, 0 before the first."""
+        jvm = self.spark.sparkContext._jvm
+        p = jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        names = [f.getPath().getName() for f in fs.listStatus(p)] if fs.exists(p) else []
+        done = [int(n.partition("=")[2]) for n in names if n.startswith("compacted=")]
+        return max(done, default=0)
+
     @property
     def location(self) -> str:
-        return f"{self.path}/generation={self._generation}"
+        return f"{self.path}/generation={self._last()}"
 
     def _history(self) -> DataFrame:
         if not self._exists(self.location):
@@ -202,8 +211,10 @@ class VersionedStore:
 
     def compact(self) -> None:
         now = self.as_dataframe().withColumns({"_version": F.lit(0).cast("long"), "_deleted": F.lit(False)})
-        now.write.mode("overwrite").parquet(f"{self.path}/generation={self._generation + 1}")
-        self._generation += 1
+        new = self._last() + 1
+        now.write.mode("overwrite").parquet(f"{self.path}/generation={new}")
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/compacted={new}")
+        p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).create(p, True).close()
 
     def _one(self, key) -> DataFrame:
         return self.as_dataframe().filter(F.col(self.key) == F.lit(key))

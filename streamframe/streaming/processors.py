@@ -1,7 +1,7 @@
 """Per-row state and processing-time windows by ``transformWithStateInPandas``.
 
 State is in RocksDB and survives with the checkpoint. Rows of a key within a micro-batch
-are taken in the order of ``order_by``.
+are taken in the order of ``order_by``: what a micro-batch has for one key is held whole.
 """
 
 from __future__ import annotations
@@ -27,6 +27,11 @@ def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
+def _ordered(rows: Iterator[pd.DataFrame], order_by: Sequence[str]) -> pd.DataFrame:
+    """A key's rows of a micro-batch, which come in several frames, in one order."""
+    return pd.concat(list(rows), ignore_index=True).sort_values(list(order_by), kind="stable")
+
+
 class _Fold(StatefulProcessor):
     def __init__(self, step: Callable[[Any, dict], Any], initial: Any, state: str, order_by: Sequence[str], name: str):
         self.step, self.initial, self.state, self.order_by, self.name = step, initial, state, list(order_by), name
@@ -37,12 +42,11 @@ class _Fold(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         held = self.value.get() if self.value.exists() else None
         a = held[0] if held is not None else self.initial
-        for f in rows:
-            f, out = f.sort_values(self.order_by), []
-            for r in f.to_dict("records"):
-                a = self.step(a, r)
-                out.append(a)
-            yield f.assign(**{self.name: out})
+        f, out = _ordered(rows, self.order_by), []
+        for r in f.to_dict("records"):
+            a = self.step(a, r)
+            out.append(a)
+        yield f.assign(**{self.name: out})
         self.value.update((a,))
 
     def close(self) -> None:
@@ -65,13 +69,12 @@ class _Group(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         held = [x[0] for x in self.items.get()] if self.items.exists() else []
-        for f in rows:
-            f, out = f.sort_values(self.order_by), []
-            for v in f[self.column].tolist():
-                held.append(v)
-                out.append(list(held))
-            self.items.appendList([(v,) for v in f[self.column].tolist()])
-            yield f.assign(**{self.name: out})
+        f, out = _ordered(rows, self.order_by), []
+        for v in f[self.column].tolist():
+            held.append(v)
+            out.append(list(held))
+        self.items.appendList([(v,) for v in f[self.column].tolist()])
+        yield f.assign(**{self.name: out})
 
     def close(self) -> None:
         pass

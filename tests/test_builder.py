@@ -72,6 +72,21 @@ def test_building_refuses_what_cannot_run(spark):
         StreamBuilder.create("")
 
 
+def test_branches_of_a_stream(spark, tmp_path):
+    got = {"main": [], "even": [], "deep": []}
+    take = lambda name: lambda df: got[name].extend(r.v for r in df.collect())
+    spark.range(10).selectExpr("id v").write.parquet(str(tmp_path / "in"))
+    s = StreamBuilder.create("branched").stream(spark.readStream.schema("v long").parquet(str(tmp_path / "in"))).filter("v > 0")
+    s = s.add_branch("even", lambda b: b.filter("v % 2 = 0").add_branch("deep", lambda c: c.filter("v > 5").sink(take("deep"))).sink(take("even")))
+    run = s.sink(take("main")).build()
+    for _ in range(2):  # the second run goes on from the checkpoints
+        run.start(str(tmp_path / "c"), trigger={"availableNow": True})
+        for q in run._queries:
+            q.awaitTermination(60)
+    run.stop()
+    assert {k: sorted(v) for k, v in got.items()} == {"main": list(range(1, 10)), "even": [2, 4, 6, 8], "deep": [6, 8]} and run.status == "Stopped"
+
+
 def test_branches_and_the_main_path(spark):
     got = defaultdict(list)
     s = StreamBuilder.create("s").stream(spark.createDataFrame([(i,) for i in range(10)], "v int"))

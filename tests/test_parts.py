@@ -55,6 +55,11 @@ def test_versioned_store_compacts_and_batches(spark, tmp_path):
     s.remove_all(spark.createDataFrame([("b",)], "k string"))
     s.compact()
     assert [(r.k, r.x) for r in s.as_dataframe().collect()] == [("a", 2)]
+    s.put("c", {"x": 7})
+    again = VersionedStore(spark, f"file://{tmp_path}/v", "k string, x int", "k")
+    assert again.get("a") == {"x": 2} and again.get("c") == {"x": 7} and again.get("b") is None
+    again.compact()
+    assert s.get("c") == {"x": 7}
 
 
 def test_stores_take_a_streams_rows(spark, tmp_path):
@@ -218,14 +223,24 @@ def test_queue_source(spark, tmp_path):
     folder = str(box)
 
     class Queue:
+        """Handles hold for the client that gave them only, and what it has out is not given again."""
+
+        def __init__(self):
+            self.out = {}
+
         def receive(self, n):
-            names = sorted(os.listdir(folder))[:n]
-            return [(x, open(f"{folder}/{x}").read()) for x in names]
+            names = [x for x in sorted(os.listdir(folder)) if x not in self.out.values()][:n]
+            got = {f"{id(self)}-{x}": x for x in names}
+            self.out |= got
+            return [(h, open(f"{folder}/{x}").read()) for h, x in got.items()]
 
         def delete(self, handles):
             for h in handles:
-                if os.path.exists(f"{folder}/{h}"):
-                    os.remove(f"{folder}/{h}")
+                os.remove(f"{folder}/{self.out.pop(h)}")
+
+        def abandon(self, handles):
+            for h in handles:
+                del self.out[h]
 
     spark.dataSource.register(connectors.queue_source("test_queue", Queue, 10))
     got = []
@@ -237,7 +252,64 @@ def test_queue_source(spark, tmp_path):
             q.awaitTermination(0.5)
     finally:
         q.stop()
-    assert set(got) == {f"m{i}" for i in range(25)}
+    assert sorted(got) == sorted(f"m{i}" for i in range(25))
+    assert len(os.listdir(folder)) <= 10  # all but the last micro-batch are acknowledged
+
+
+def test_a_queue_takes_back_what_no_one_can_read():
+    class Queue:
+        def __init__(self):
+            self.left, self.out = ["1", "x", "2"], []
+
+        def receive(self, n):
+            self.out = list(enumerate(self.left))
+            return self.out
+
+        def abandon(self, handles):
+            self.out = [p for p in self.out if p[0] not in handles]
+
+    source = connectors.queue_source("checked", Queue, 10, check=int)({})
+    with pytest.raises(ValueError):
+        source.poll({"position": 0})
+    assert source._client().out == [] and not source.pending
+
+
+def test_rows_of_several_frames_are_taken_in_one_order():
+    import pandas as pd
+    from streamframe.streaming import processors
+
+    class State:
+        def __init__(self):
+            self.held = None
+
+        def exists(self):
+            return self.held is not None
+
+        def get(self):
+            return self.held
+
+        def update(self, value):
+            self.held = value
+
+        def appendList(self, values):
+            self.held = [*(self.held or []), *values]
+
+    frames = lambda: iter([pd.DataFrame({"k": 1, "v": [5, 3]}), pd.DataFrame({"k": 1, "v": [4, 1]})])
+    fold = processors._Fold(lambda a, r: a + str(r["v"]), "", "string", ["v"], "s")
+    fold.value = State()
+    assert pd.concat(fold.handleInputRows((1,), frames(), None))["s"].tolist() == ["1", "13", "134", "1345"] and fold.value.held == ("1345",)
+    group = processors._Group("v", "long", ["v"], "s")
+    group.items = State()
+    assert pd.concat(group.handleInputRows((1,), frames(), None))["s"].tolist()[-1] == [1, 3, 4, 5]
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace as N
+    from streamframe import shared
+
+    conf = N(get=lambda k: None)
+    with pytest.raises(RuntimeError):
+        shared.work_path(N(sparkContext=N(getConf=lambda: conf, master="spark://host:7077", applicationId="x")), "a")
 
 
 def test_mediator(tmp_path):

@@ -16,6 +16,10 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Keys whose values a lookup broadcasts, at most, and rows of a key that are never too many for a task.
+HOT_KEYS = 50_000
+HOT_ROWS = 64
+
 _SESSION_TAG = uuid.uuid4().hex[:12]
 _LOCAL: dict[str, str] = {}
 _CLEANUP: set[str] = set()
@@ -92,6 +96,19 @@ def small_batches(spark: SparkSession, rows: int = 512, size: int = 64 << 20) ->
             spark.conf.set(name, str(most))
 
 
+def lookup(rows: DataFrame, values: DataFrame, key: str, count: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``values``, a written table of one row for each key; its column ``count`` says how many rows have the key.
+
+    Keys of more than one in HOT_KEYS of all rows cannot be more than HOT_KEYS: their values are broadcast and their rows
+    stay where they are. All other rows are shuffled, of which no key has many. ``how`` is inner or left.
+    """
+    total = values.agg(F.sum(count)).first()[0] or 0
+    least = max(HOT_ROWS, -(-total // HOT_KEYS))
+    hot, cold = values.filter(F.col(count) > least), values.filter(F.col(count) <= least)
+    other = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return rows.join(F.broadcast(hot), key).unionByName(other.join(cold, key, how))
+
+
 def size_of(df: DataFrame) -> int:
     return df.agg(F.count("*")).first()[0]
 

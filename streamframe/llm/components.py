@@ -1,8 +1,8 @@
 """Connected components by alternating large-star and small-star rounds.
 
-Each round is two groupings with map-side combine and two joins, and its edges are
+Each round is two groupings with map-side combine and two joins, and its tables are
 written to the shared folder, so lineage stays short. No node's neighbours are ever
-gathered in one row. Rounds grow with the logarithm of the longest path.
+gathered in one row, nor in one task where they are many. Rounds grow with the logarithm of the longest path.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop, new_path
+from .common import drop, lookup, new_path
 
 
 def _written(edges: DataFrame) -> tuple[DataFrame, str]:
@@ -28,17 +28,19 @@ def _are_stars(e: DataFrame) -> bool:
     return by.filter("low <> high OR leaf + root = 2").isEmpty()
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def components(edges: DataFrame, one: str = "a", other: str = "b") -> DataFrame:
     """node, component: every node that has an edge to another, and the smallest node it is connected with."""
-    u, v = F.greatest(a, b), F.least(a, b)
-    e, path = _written(edges.filter(F.col(a) != F.col(b)).select(u.alias("u"), v.alias("v")).distinct())
+    u, v = F.greatest(one, other), F.least(one, other)
+    e, path = _written(edges.filter(F.col(one) != F.col(other)).select(u.alias("u"), v.alias("v")).distinct())
     while not _are_stars(e):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        down = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        above = both.filter("v > u")
+        low, a = _written(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count_if(F.col("v") > F.col("u")).alias("c")).filter("c > 0"))
+        large, b = _written(lookup(above, low, "u", "c").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        least, c = _written(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("c")))
+        down = lookup(large, least, "u", "c").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         old = path
         e, path = _written(down.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
-        drop(e.sparkSession, old)
+        for p in (old, a, b, c):
+            drop(e.sparkSession, p)
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small_batches
+from .common import lookup, materialize, small_batches
 from .components import components
 
 WORDS = 5
@@ -186,8 +186,9 @@ def classes_of(found: DataFrame) -> DataFrame:
 def candidates(classes: DataFrame) -> DataFrame:
     """node, component: classes with a chance of a partner; partners are in one component."""
     keys = classes.select("node", F.explode("keys").alias("key"))
-    shared = keys.groupBy("key").agg(F.min("node").alias("first"), F.count("*").alias("c")).filter("c > 1").select("key", "first")
-    return components(keys.join(shared, "key").filter("node <> first").select("node", "first"), "node", "first")
+    shared = keys.groupBy("key").agg(F.min("node").alias("first"), F.count("*").alias("c")).filter("c > 1")
+    shared = materialize(shared, "shared-keys")
+    return components(lookup(keys, shared, "key", "c").filter("node <> first").select("node", "first"), "node", "first")
 
 
 _SETS = "node long, component long, blocks long, signature binary, shingles binary"
@@ -287,19 +288,18 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLER
     found = materialize(sketches(docs), "sketches")
     classes = materialize(classes_of(found), "classes")
     near = materialize(candidates(classes), "candidates")
-    # only components of more than one block are looked up: few, so most rows never move for it
-    large = materialize(near.groupBy("component").agg(F.ceil(F.count("*") / block).alias("blocks")).filter("blocks > 1"), "large-components")
-    members = near.join(large, "component", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long"))).join(classes.select("node", "doc_id", "row", "digest", "signature"), "node")
+    large = near.groupBy("component").agg(F.ceil(F.count("*") / block).alias("blocks"), F.count("*").alias("c")).filter("blocks > 1")
+    members = lookup(near, materialize(large, "large-components"), "component", "c", "left").drop("c").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long"))).join(classes.select("node", "doc_id", "row", "digest", "signature"), "node")
     tasks = max(1, -(-near.count() // block))
     links = materialize(verified(member_sets(docs, members), threshold, tolerance, block, tasks), "links")
     group = components(links.filter("other IS NOT NULL").select("node", "other"), "node", "other")
     degree = links.filter("other IS NULL").groupBy("node").agg(F.sum("links").alias("n_links"))
     own = classes.select("node", "digest", F.col("doc_id").alias("exact_id"), "row", "n_copies").join(group, "node", "left").join(degree, "node", "left")
-    own = own.withColumn("component", F.coalesce("component", "node"))
-    whole = own.groupBy("component").agg(F.max(F.struct("exact_id", "row")).alias("stays"), F.sum("n_copies").alias("group_size"))
-    named = own.drop("row").join(whole, "component").select("digest", F.col("stays.exact_id").alias("class_id"), F.col("stays.row").alias("stays"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "exact_id", "n_copies", "group_size")
+    own = materialize(own.withColumn("component", F.coalesce("component", "node")), "near-classes")
+    whole = own.groupBy("component").agg(F.max(F.struct("exact_id", "row")).alias("stays"), F.sum("n_copies").alias("group_size"), F.count("*").alias("c"))
+    named = lookup(own.drop("row"), materialize(whole, "near-groups"), "component", "c").select("digest", F.col("stays.exact_id").alias("class_id"), F.col("stays.row").alias("stays"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "exact_id", "n_copies", "group_size")
     kept = F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("row") == F.col("stays"))
-    return found.select("doc_id", "row", "digest").join(named, "digest").select("doc_id", "class_id", "n_links", "exact_id", "n_copies", "group_size", kept.alias("kept"), "row")
+    return lookup(found.select("doc_id", "row", "digest"), materialize(named, "near-named"), "digest", "n_copies").select("doc_id", "class_id", "n_links", "exact_id", "n_copies", "group_size", kept.alias("kept"), "row")
 
 
 def survivors(docs: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import fresh, materialize, new_path, small_batches
+from .common import fresh, lookup, materialize, new_path, small_batches
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Bytes of texts that a task of the byte check remembers, so that it forwards copies once.
@@ -155,11 +155,11 @@ def deduplicate(docs: DataFrame, digest_bytes: int = 32) -> DataFrame:
     prints = materialize(fingerprints(docs, digest_bytes), "fingerprints")
     path = prints.inputFiles()[0].rsplit("/", 1)[0] if prints.inputFiles() else None
     state = materialize(stream_state(spark, path, prints.schema), "dedup-groups") if path else spark.createDataFrame([], "digest string, keeper struct<doc_id: long, file: string, row: long>, group_size long")
-    hits = prints.join(state.filter("group_size > 1").select("digest"), "digest", "left_semi")
+    hits = lookup(prints, state.filter("group_size > 1").select("digest", "group_size"), "digest", "group_size")
     clash = materialize(conflicts(hit_texts(docs, hits, digest_bytes)), "dedup-conflicts")
     if not clash.isEmpty():
         prints, state = _by_text(docs, prints, state, clash)
-    joined = prints.join(state, "digest")
+    joined = lookup(prints, state, "digest", "group_size")
     kept = (F.col("row") == F.col("keeper.row")) & (F.col("file") == F.col("keeper.file"))
     return joined.select(
         "doc_id", F.col("keeper.doc_id").alias("keep_id"), "group_size", kept.alias("kept"), "text_sha256",

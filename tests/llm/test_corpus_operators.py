@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from streamframe.llm import common, components, exact_dedup, mixing, near_dup, packing, quality, toxicity
 from streamframe.llm.queries import vocabulary
@@ -185,6 +186,17 @@ def test_pruning_keeps_pairs_at_the_threshold():
     assert lost == 0 and limits[128] > 60
 
 
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_lookups_of_frequent_and_rare_keys_equal_plain_joins(spark, how):
+    keys = [1] * 500 + [2] * 64 + [3] * 65 + list(range(4, 60)) + [None]
+    rows = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "k int, i int")
+    count = rows.filter("k IS NOT NULL AND k % 7 <> 5").groupBy("k").agg(F.count("*").alias("c"), (F.max("i") * 2).alias("x"))
+    values = common.materialize(count, "values")
+    got = sorted(map(tuple, common.lookup(rows, values, "k", "c", how).collect()), key=str)
+    assert got == sorted(map(tuple, rows.join(values, "k", how).collect()), key=str)
+    assert common.lookup(rows, values.limit(0), "k", "c", how).count() == (len(keys) if how == "left" else 0)
+
+
 def test_components(spark):
     rng = random.Random(7)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(1000 + i, 1001 + i) for i in range(60)] + [(5, 5)]

@@ -371,8 +371,11 @@ def keyed_by_two_columns(spark, sf_dir):
 # Streams: the same plans by Structured Streaming over the table's files, to their end.
 
 
-def _streamed(spark: SparkSession, sf_dir: str, name: str, plan, columns: list[str], version: str) -> DataFrame:
-    """Run a stateful plan in update mode with RocksDB state; the newest row of each key is its state."""
+def _streamed(spark: SparkSession, sf_dir: str, name: str, plan, columns: list[str], version: str, batches: int = 1) -> DataFrame:
+    """Run a stateful plan in update mode with RocksDB state; the newest row of each key is its state.
+
+    For several batches the events are dealt to as many files, of which a micro-batch takes one.
+    """
     from ..streaming.processors import ROCKSDB
 
     path = f"{sf_dir}/events.parquet"
@@ -384,7 +387,11 @@ def _streamed(spark: SparkSession, sf_dir: str, name: str, plan, columns: list[s
         for k, v in wanted.items():
             spark.conf.set(k, v)
         # as a pattern, the path may be one file as well as a folder of files
-        source = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{sf_dir}/events.parque[t]")
+        reader, pattern = spark.readStream.schema(spark.read.parquet(path).schema), f"{sf_dir}/events.parque[t]"
+        if batches > 1:
+            spark.read.parquet(path).repartition(batches, "event_id").write.parquet(f"{work}/in")
+            reader, pattern = reader.option("maxFilesPerTrigger", 1), f"{work}/in"
+        source = reader.parquet(pattern)
         out = plan(source)
 
         def save(batch: DataFrame, n: int) -> None:
